@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import read
 
 SPACE = "▁"
-#: Distinct chunks a worker remembers before it starts anew; bounds its memory only.
-MEMORY = 400_000
+#: Distinct chunks of each of the two generations that a worker remembers; bounds its memory only.
+MEMORY = 300_000
+#: Chunks of up to so many symbols keep their agenda in a list, longer ones in a heap.
+SHORT = 24
 MODEL = "piece_bpe_32k.model"
 
 
@@ -68,11 +73,35 @@ class Agenda:
         for name in self.pieces:
             if SPACE in name.lstrip(SPACE):
                 raise ValueError("a piece holds a space after other text")
-        self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.memo: dict[str, tuple[int, ...]] = {}
+        joined = {c for name in self.pieces if len(name) > 1 for c in name}
+        self.alone = "".join(c for c in map(chr, range(128)) if c not in joined)
+        alone = re.escape(self.alone)
+        self.chunk = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]")
+        if "\n" not in self.alone:
+            raise ValueError("a piece holds a line end and other text")
+        #: chunk: (number of ids, ids in decimal with a comma after each, decoded text)
+        self.memo: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def merge(self, chunk: str) -> list[str]:
         """Symbols of a chunk: the best-scored adjacent pair is joined first, the leftmost of equals."""
+        return self._merge_list(chunk) if len(chunk) <= SHORT else self._merge_heap(chunk)
+
+    def _merge_list(self, chunk: str) -> list[str]:
+        pieces, none = self.pieces, (-math.inf, 0)
+        symbols = list(chunk)
+        agenda = [pieces.get(a + b, none)[0] for a, b in itertools.pairwise(symbols)]
+        while agenda and (best := max(agenda)) > -math.inf:
+            i = agenda.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = pieces.get(symbols[i] + symbols[i + 1], none)[0]
+            if i:
+                agenda[i - 1] = pieces.get(symbols[i - 1] + symbols[i], none)[0]
+        return symbols
+
+    def _merge_heap(self, chunk: str) -> list[str]:
         pieces = self.pieces
         symbols: list[str | None] = list(chunk)
         n = len(symbols)
@@ -116,51 +145,56 @@ class Agenda:
     def learn(self, new: list[str]) -> None:
         """Encode chunks not met before and check all of them against the library, in one batch."""
         made = [self.ids(c) for c in new]
-        # the library adds the prefix itself; chunks without a leading space are checked behind one more letter's chunk
-        plain = [c[1:].replace(SPACE, " ") if c[0] == SPACE else c for c in new]
-        for chunk, text, mine, ids in zip(new, plain, made, self.library.encode(plain, num_threads=1), strict=True):
-            if chunk[0] == SPACE and text and list(mine) != ids:
+        # nothing joins a line end, so what the library makes of it and of its own prefix can be cut off
+        checked = self.library.encode(["\n" + c.replace(SPACE, " ") for c in new], num_threads=1)
+        for chunk, mine, ids in zip(new, made, checked, strict=True):
+            if list(mine) != ids[2:]:
                 raise AssertionError(f"agenda and library differ on {chunk!r}")
-        self.memo.update(zip(new, made, strict=True))
+        for chunk, ids in zip(new, made, strict=True):
+            self.memo[chunk] = (len(ids), "".join(f"{i}," for i in ids), self.surfaces(ids))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def coded(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
+        """The remembered codes of each text's chunks."""
         if len(self.memo) > MEMORY:
-            self.memo.clear()
+            self.memo, self.older = {}, self.memo
         cut = [self.chunks(t) for t in texts]
         new = {c for chunks in cut for c in chunks}
         new.difference_update(self.memo)
+        for c in [c for c in new if c in self.older]:
+            self.memo[c] = self.older[c]
+            new.discard(c)
         if new:
             self.learn(sorted(new))
-        memo = self.memo
-        out = []
-        for chunks in cut:
-            ids: list[int] = []
-            for c in chunks:
-                ids += memo[c]
-            out.append(ids)
-        return out
+        get = self.memo.__getitem__
+        return [list(map(get, chunks)) for chunks in cut]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: runs of byte pieces become UTF-8, the dummy prefix goes."""
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [[int(i) for _, ids, _ in codes for i in ids[:-1].split(",")] for codes in self.coded(texts)]
+
+    def surfaces(self, ids: Iterable[int]) -> str:
+        """The pieces' text, spaces still escaped; runs of byte pieces become UTF-8."""
         out: list[str] = []
-        names, kinds = self.names, self.kinds
-        if 6 not in map(kinds.__getitem__, set(ids)) and not {2, 3} & set(map(kinds.__getitem__, set(ids))):
-            text = "".join(map(names.__getitem__, ids))
-        else:
-            run = bytearray()
-            for i in [*ids, -1]:
-                if i >= 0 and kinds[i] == 6:
-                    run.append(int(names[i][3:5], 16))
-                    continue
-                if run:
-                    out.append(run.decode("utf-8", "replace"))
-                    run.clear()
-                if i >= 0:
-                    out.append("" if kinds[i] == 3 else self.surface if kinds[i] == 2 else names[i])
-            text = "".join(out)
-        if text.startswith(SPACE) or text.startswith(" "):
-            text = text[1:]
-        return text.replace(SPACE, " ")
+        run = bytearray()
+        for i in ids:
+            kind, name = self.kinds[i], self.names[i]
+            if kind == 6:
+                run.append(int(name[3:5], 16))
+                continue
+            if run:
+                out.append(run.decode("utf-8", "replace"))
+                run.clear()
+            out.append("" if kind == 3 else self.surface if kind == 2 else name)
+        if run:
+            out.append(run.decode("utf-8", "replace"))
+        return "".join(out)
+
+    @staticmethod
+    def plain(surface: str) -> str:
+        """Without the dummy prefix, and with spaces."""
+        return surface.removeprefix(SPACE).replace(SPACE, " ")
+
+    def decode(self, ids: list[int]) -> str:
+        return self.plain(self.surfaces(ids))
 
 
 _loaded: dict[str, Agenda] = {}
@@ -172,7 +206,7 @@ def agenda(path: str) -> Agenda:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, path: str | None = None, column: str = "text", with_text: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
     """doc_id, ids (array<int>), n_tokens and decoded for every row.
 
     Null texts count as empty: no ids, an empty text. Equal rows are kept. Other columns are not read. Each Arrow
@@ -190,13 +224,15 @@ def _digest(docs: DataFrame, path: str | None, column: str, whole: bool) -> Data
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
                 texts = [t or "" for t in part["text"]]
-                ids = coder.encode(texts)
-                decoded = [coder.decode(i) for i in ids]
-                out = {"doc_id": part["doc_id"], "n_tokens": [len(i) for i in ids]}
+                codes = coder.coded(texts)
+                counts = [sum(map(itemgetter(0), c)) for c in codes]
+                ids = ["".join(map(itemgetter(1), c))[:-1] for c in codes]
+                decoded = [coder.plain("".join(map(itemgetter(2), c))) for c in codes]
+                out = {"doc_id": part["doc_id"], "n_tokens": counts}
                 if whole:
-                    out |= {"ids": ids, "decoded": decoded}
+                    out |= {"ids": [list(map(int, i.split(","))) if i else [] for i in ids], "decoded": decoded}
                 else:
-                    out["ids_sha256"] = [hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in ids]
+                    out["ids_sha256"] = [hashlib.sha256(i.encode()).hexdigest() for i in ids]
                     out["decoded_sha256"] = [hashlib.sha256(t.encode()).hexdigest() for t in decoded]
                 yield pd.DataFrame(out)
 
