@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, pieces, quality, sharding
+from tessera.llm import licenses, mixing, pieces, quality, sharding
 
-MODULES = [sharding, pieces, quality, mixing]
+MODULES = [licenses, sharding, pieces, quality, mixing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
