@@ -90,3 +90,24 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int
         .join(roots, F.col("id") == F.col("u"), "left")
         .select("id", F.coalesce("v", "id").alias("component_id"))
     )
+
+
+def map_texts(docs: DataFrame, column: str, fields: dict, make: Callable[[list[str]], list[list]], step: int = 256) -> DataFrame:
+    """doc_id and the ``fields`` (name: Arrow type) that ``make`` gives for lists of at most ``step`` whole texts.
+
+    Works on Arrow batches, so ids stay exact beside null ids. Null texts are handed on as empty ones.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    schema = pa.schema([("doc_id", pa.int64()), *fields.items()])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                made = make([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(made, list(schema)[1:], strict=True))], schema=schema)
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
+    return slim.mapInArrow(run, from_arrow_schema(schema))

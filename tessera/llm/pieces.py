@@ -13,14 +13,13 @@ import heapq
 import itertools
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.llm.common import read
+from tessera.llm.common import map_texts, read
 
 SPACE = "▁"
 #: Distinct chunks of each of the two generations that a worker remembers; bounds its memory only.
@@ -218,26 +217,18 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "text") -> Da
 def _digest(docs: DataFrame, path: str | None, column: str, whole: bool) -> DataFrame:
     path = path or model_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list[str]) -> list[list]:
         coder = agenda(path)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                texts = [t or "" for t in part["text"]]
-                codes = coder.coded(texts)
-                counts = [sum(map(itemgetter(0), c)) for c in codes]
-                ids = ["".join(map(itemgetter(1), c))[:-1] for c in codes]
-                decoded = [coder.plain("".join(map(itemgetter(2), c))) for c in codes]
-                out = {"doc_id": part["doc_id"], "n_tokens": counts}
-                if whole:
-                    out |= {"ids": [list(map(int, i.split(","))) if i else [] for i in ids], "decoded": decoded}
-                else:
-                    out["ids_sha256"] = [hashlib.sha256(i.encode()).hexdigest() for i in ids]
-                    out["decoded_sha256"] = [hashlib.sha256(t.encode()).hexdigest() for t in decoded]
-                yield pd.DataFrame(out)
-
-    schema = "doc_id long, n_tokens long, " + ("ids array<int>, decoded string" if whole else "ids_sha256 string, decoded_sha256 string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("text")).mapInPandas(run, schema)
+        codes = coder.coded(texts)
+        counts = [sum(map(itemgetter(0), c)) for c in codes]
+        ids = ["".join(map(itemgetter(1), c))[:-1] for c in codes]
+        decoded = [coder.plain("".join(map(itemgetter(2), c))) for c in codes]
+        if whole:
+            return [counts, [list(map(int, i.split(","))) if i else [] for i in ids], decoded]
+        return [counts, *([hashlib.sha256(x.encode()).hexdigest() for x in part] for part in (ids, decoded))]
+
+    made = {"ids": pa.list_(pa.int32()), "decoded": pa.string()} if whole else {"ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    return map_texts(docs, column, {"n_tokens": pa.int64(), **made}, make)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
