@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import licenses, mixing, pieces, quality, sharding, tokencount
+from tessera.llm import licenses, mixing, pieces, quality, sharding, tokencount, wrappers
 
-MODULES = [licenses, sharding, pieces, quality, tokencount, mixing]
+MODULES = [wrappers, licenses, sharding, pieces, quality, tokencount, mixing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
