@@ -1,0 +1,95 @@
+import hashlib
+import itertools
+import re
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tessera.llm import private
+
+
+def brute(text):
+    """The contract's patterns, word by word."""
+    out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((1, *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        total = sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d)))
+        if 13 <= len(d) <= 19 and total % 10 == 0:
+            out.append((2, *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append((3, *m.span()))
+    return out
+
+
+ODD = ["", "a@b", "a@b.c", "é@b.c", "x@@y.z", "a@b.c@d.e.f", "a@b..c q@r.s.", "1.2.3.4.5.6.7.8", "001.2.3.0255", "1.2.3.256", "+1 (578) 555-6437 4918187128635271", "4111 1111 1111 1111", "+49-30-1234567.", "9" * 3000, "+1" + " " * 2000]
+
+
+def test_base_is_the_contract():
+    for text in ODD:
+        assert private.base_spans(text) == brute(text), text
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="0123456789.+-() @aZ_é", max_size=60))
+def test_base_on_any_text(text):
+    assert private.base_spans(text) == brute(text)
+
+
+def test_messages_are_exact_on_trees():
+    rng = np.random.default_rng(1)
+    field = private.Field(np.zeros((4, len(private.FEATURES))), rng.normal(size=(5, 5)), np.diag([0, 2.0, 2, 2, 2]))
+    theta = rng.normal(size=(4, 5))
+    chain, skip = np.array([[0, 1], [2, 3]]), np.array([[0, 2]])
+    want = np.zeros((4, 5))
+    for y in itertools.product(range(5), repeat=4):
+        w = np.exp(sum(theta[i, y[i]] for i in range(4)) + field.chain[y[0], y[1]] + field.chain[y[2], y[3]] + field.skip[y[0], y[2]])
+        for i in range(4):
+            want[i, y[i]] += w
+    got = field.marginals(theta, chain, skip)
+    assert np.allclose(got, want / want.sum(axis=1, keepdims=True), atol=1e-2)
+
+
+def test_held_out_accuracy_and_consistency():
+    field = private.trained()
+    hit = miss = wrong = 0
+    for text, truth in private.generated(seed=99, count=300):
+        base, spans = private.find(text, field)
+        found = {(s, e): k for k, s, e in spans}
+        for span, kind in truth.items():
+            ok = any(k == kind and s <= span[0] and span[1] <= e for (s, e), k in found.items())
+            hit, miss = hit + ok, miss + (not ok)
+        only = set(spans) - set(base)
+        wrong += sum(not any(s <= a and b <= e for a, b in truth) for _, s, e in only)
+    assert hit >= 0.93 * (hit + miss) and wrong <= 0.06 * hit, (hit, miss, wrong)
+    # the short number is only known by its distant whole form
+    lone = "nothing here 555-6437 nothing"
+    assert private.find(lone, field)[1] == []
+    both = "call +1 (578) 555-6437 " + "word " * 300 + lone
+    assert [both[s:e] for _, s, e in private.find(both, field)[1]] == ["+1 (578) 555-6437", "555-6437"]
+    run = "and +1 (578) 555-6437 4918187128635271 or"
+    assert [(k, run[s:e]) for k, s, e in private.find(run, field)[1]] == [(2, "4918187128635271"), (3, "+1 (578) 555-6437")]
+
+
+def test_clean_prose_is_left_alone(spark, sf_dir):
+    field = private.trained()
+    for text in ("In 1984 and 2001-2005 about 12.5 of 3,000 went at 10.30 to room 4.", "Section 2.1.3.4.1 of version 1.2.3.4", "look at example.com", "token = \"1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae\""):
+        base, spans = private.find(text, field)
+        assert spans == base
+
+
+def test_table_and_odd_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in private.query(spark, sf_dir).collect():
+        want = brute(text[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(private.joined(want).encode()).hexdigest()
+        assert set(private.joined(want).split(",")) <= set(r.spans.split(","))
+    df = spark.createDataFrame([(1, None, 1), (1, None, 1), (None, "a@b.c", 2), (1 << 60, "", 3)], "doc_id long, text string, spans int")
+    got = sorted((r.doc_id or 0, r.n_email, r.spans, r.clean) for r in private.detect(df, with_text=True).collect())
+    assert got == [(0, 1, "email:0:5", "<EMAIL>"), (1, 0, "", ""), (1, 0, "", ""), (1 << 60, 0, "", "")]
+    assert private.detect(df.limit(0)).collect() == []
