@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import licenses, mixing, neighbours, pieces, private, quality, sharding, tokencount, wrappers
+from tessera.llm import jaccard, licenses, mixing, neighbours, pieces, private, quality, sharding, tokencount, wrappers
 
-MODULES = [wrappers, licenses, sharding, neighbours, private, pieces, quality, tokencount, mixing]
+MODULES = [wrappers, licenses, sharding, neighbours, private, pieces, jaccard, quality, tokencount, mixing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
