@@ -19,7 +19,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import components, read, written
@@ -432,6 +432,21 @@ def _repeats(known: DataFrame) -> bool:
     return not counted.isEmpty()
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with the smallest id of each group of linked documents; of rows that repeat an id the first by text.
+
+    Rows without an id and without words stay.
+    """
+    others = join(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    firsts = kept.join(again, "doc_id", "left_semi").withColumn("_place", place).where("_place = 1")
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(firsts.select(*docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(read(spark, sf_dir, "documents"))
 

@@ -55,8 +55,13 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("null"))
 
 
+def _row_key() -> Column:
+    """The id; for rows without one their text's digest."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
+
+
 def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies.
+    """One row per document: doc_id, size, source_size, target, taken, copies, key (see ``_row_key``).
 
     Null texts have size 0; a null source is a source of its own, after all others. Rows without words are
     taken 0 times. Ties in the hash are broken by id and size; equal rows are interchangeable. An empty table
@@ -68,6 +73,7 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHT
         "source",
         _key(F.col("source")).alias("sk"),
         F.size(words(F.col("text"))).cast("long").alias("size"),
+        _row_key().alias("key"),
         hex_number(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("h"),
     )
     slim = written(slim.withColumn("hb", F.floor(F.col("h") / F.lit((1 << 60) // BUCKETS)).cast("int")), "mix-sizes")
@@ -78,7 +84,7 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHT
     offsets = parts.select("sk", "hb", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")).join(targets, "sk")
     inside = Window.partitionBy("sk", "hb").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     queue = slim.withColumn("inside", F.sum("size").over(inside)).join(offsets, ["sk", "hb"])
-    queue = queue.select("doc_id", "size", "sk", "h", "source_size", "target", (F.col("offset") + F.col("inside")).alias("cum"))
+    queue = queue.select("doc_id", "key", "size", "sk", "h", "source_size", "target", (F.col("offset") + F.col("inside")).alias("cum"))
     queue = written(queue, "mix-queue")
 
     def finish(copy: int) -> Column:
@@ -123,11 +129,25 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHT
     else:
         taken_copy = lambda time: taken
     copies = sum((F.when((F.col("size") > 0) & taken_copy(finish(k)), 1).otherwise(0) for k in range(COPIES)), F.lit(0))
-    return queue.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    return queue.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"), "key")
+
+
+def mixed(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The mix itself: the rows of ``docs`` that it takes, each as often as it is taken.
+
+    Rows that share an id, or a text and no id, are served each and returned with the columns of one of them.
+    """
+    taken = mix(docs, share, weights).groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    taken = written(taken, "mix-taken")
+    rows = docs.select(_row_key().alias("_key"), F.struct(*docs.columns).alias("_row"))
+    if not taken.where("rows > 1").isEmpty():
+        rows = rows.dropDuplicates(["_key"])
+    served = rows.join(taken, F.col("_key") == F.col("key"))
+    return served.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents")).drop("copies")
+    return mix(read(spark, sf_dir, "documents")).drop("copies", "key")
 
 
 SQL = r"""

@@ -343,6 +343,28 @@ def detect(docs: DataFrame, column: str = "text", with_text: bool = False) -> Da
     return map_texts(docs, column, fields | ({"clean": pa.string()} if with_text else {}), make)
 
 
+def scrubbed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the found spans of ``text`` replaced by their kind, and n_chars, where there is one, counted anew.
+
+    Null texts stay null; the other columns and the number of rows are as before.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    field, schema = trained(), to_arrow_schema(docs.schema)
+    text, count = schema.get_field_index("text"), schema.get_field_index("n_chars")
+
+    def run(batches):
+        for batch in batches:
+            clean = [None if t is None else redacted(t, find(t, field)[1]) for t in batch.column(text).to_pylist()]
+            columns = list(batch.columns)
+            columns[text] = pa.array(clean, schema.field(text).type)
+            if count >= 0:
+                columns[count] = pa.array([None if t is None else len(t) for t in clean], schema.field(count).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(read(spark, sf_dir, "documents"))
 

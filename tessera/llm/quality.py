@@ -156,6 +156,27 @@ def stratum(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(column)), F.lit("null"))
 
 
+def calibrated(slim: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
+    """Cutoffs per stratum from the labelled rows of ``slim`` (k_doc_id, _st and the counts) that pass the base rule."""
+    truth = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    holdout = slim.where(~base_failed()).join(truth, F.col("k_doc_id") == truth["doc_id"])
+    return thresholds(holdout, "_st", risk, delta)
+
+
+def judged(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``rows`` with base_failed and kept."""
+    rows = rows.withColumn("_key", stratum("_st")).join(cuts, F.col("_key") == F.col("st"), "left")
+    caught = F.lit(False)
+    for rule, value in ratios().items():
+        caught = caught | F.coalesce(value > F.col(f"cut_{rule}"), F.lit(False))
+    return rows.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & ~caught})
+
+
+def _slim(docs: DataFrame, strata: str, keep: tuple[str, ...]) -> DataFrame:
+    chosen = docs.select("text", F.col(strata).alias("_st"), *[F.col(c).alias(f"k_{c}") for c in keep])
+    return written(features(chosen).drop("text"), "quality-features")
+
+
 def judge(docs: DataFrame, labels: DataFrame, strata: str = "lang", keep: tuple[str, ...] = ("doc_id",), risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The ``keep`` columns, the counts, base_failed and kept for every row of ``docs``.
 
@@ -163,22 +184,22 @@ def judge(docs: DataFrame, labels: DataFrame, strata: str = "lang", keep: tuple[
     without a stratum form one of their own; a stratum without certified cutoffs is judged by the base rule alone.
     Equal rows get equal verdicts. The text is read once; the calibration runs on a slim written table.
     """
-    slim = written(features(docs.select("text", F.col(strata).alias("_st"), *[F.col(c).alias(f"k_{c}") for c in keep])).drop("text"), "quality-features")
-    truth = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    holdout = slim.where(~base_failed()).join(truth, F.col("k_doc_id") == truth["doc_id"])
-    cuts = thresholds(holdout, "_st", risk, delta)
-    judged = slim.withColumn("st", stratum("_st")).join(cuts, "st", "left")
-    caught = F.lit(False)
-    for rule, value in ratios().items():
-        caught = caught | F.coalesce(value > F.col(f"cut_{rule}"), F.lit(False))
-    return judged.select(
+    slim = _slim(docs, strata, keep)
+    rows = judged(slim, calibrated(slim, labels, risk, delta))
+    return rows.select(
         *[F.col(f"k_{c}").alias(c) for c in keep],
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"),
-        (~base_failed() & ~caught).alias("kept"),
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
     )
 
 
+def passing(docs: DataFrame, labels: DataFrame, strata: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns. The texts are read twice and not shuffled."""
+    slim = _slim(docs, strata, ("doc_id",))
+    cuts = calibrated(slim, labels, risk, delta)
+    whole = docs.select("text", F.col(strata).alias("_st"), F.struct(*docs.columns).alias("_row"))
+    return judged(features(whole), cuts).where("kept").select("_row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import jaccard, licenses, mixing, neighbours, pieces, private, quality, sharding, tokencount, wrappers
 
-MODULES = [wrappers, licenses, sharding, neighbours, private, pieces, jaccard, quality, tokencount, mixing]
+MODULES = [wrappers, licenses, sharding, neighbours, private, pieces, jaccard, quality, tokencount, mixing, corpus_pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,4 +17,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
+    return {name: sql for module in MODULES for name, sql in (module.ORACLE_SQL or {}).items()}
