@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators import planning
+from tessera.operators import planning, rasters
 
-MODULES: list = [planning]
+MODULES: list = [planning, rasters]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
