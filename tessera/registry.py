@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators import planning, rasters
+from tessera.operators import planning, rasters, tiles
 
-MODULES: list = [planning, rasters]
+MODULES: list = [planning, rasters, tiles]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
