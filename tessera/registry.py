@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators import planning, queue, rasters, tiles
+from tessera.operators import models, planning, queue, rasters, tiles
 
-MODULES: list = [planning, rasters, tiles, queue]
+MODULES: list = [planning, rasters, tiles, queue, models]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
