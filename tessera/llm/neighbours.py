@@ -12,7 +12,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +19,15 @@ from pyspark.sql import functions as F
 from tessera.llm.common import components, read, written
 
 #: Vectors in a block, on average at most.
-BLOCK = 2048
+BLOCK = 4096
 #: Pivots at most; a pivot's vectors are dealt by hash into as many blocks as they need.
 PIVOTS = 256
-#: Radii of the levels below a block.
-RADII = (1.0, 0.5, 0.25, 0.125)
+#: Halving radii of the levels below a block. Coarser ones would rule nothing out at the usual thresholds.
+RADII = (0.5, 0.25, 0.125)
+#: Pairs of nodes with at most so many pairs of members are computed without going further down.
+SMALL = 1 << 18
+#: Allowance for single precision, in which only candidates are sought.
+ROUGH = 1e-5
 #: Bounds are only trusted beyond rounding errors; what lies nearer is computed.
 SLACK = 1e-9
 #: Rows of a distance table that is held at once.
@@ -53,50 +56,13 @@ def unit_rows(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return usable, scaled / np.sqrt(np.einsum("nd,nd->n", scaled, scaled))[:, None]
 
 
-class Tree:
-    """A cover tree over unit vectors, nodes as arrays: center (a row), radius, first and last child, and the rows below.
-
-    Rows are reordered so that every node covers a run of them. Each level is a net: centers lie further apart than its
-    radius, and each member within the radius of its center.
-    """
-
-    def __init__(self, rows: np.ndarray):
-        self.order = np.arange(len(rows))
-        self.center: list[int] = []
-        self.radius: list[float] = []
-        self.span: list[tuple[int, int]] = []
-        self.kids: list[list[int]] = []
-        self.given = rows
-        if len(rows):
-            self._node(0, self.order, 0)
-        self.rows = rows[self.order]
-        self.center_row = self.given[np.array(self.center, int)] if self.center else rows
-
-    def _node(self, level: int, members: np.ndarray, start: int, center: int | None = None) -> int:
-        center = members[0] if center is None else center
-        gaps = distances(self.given[members], self.given[center : center + 1])[:, 0]
-        me = len(self.center)
-        self.center.append(int(center))
-        self.radius.append(float(gaps.max()))
-        self.span.append((start, start + len(members)))
-        self.kids.append([])
-        while len(members) > 1 and level < len(RADII) and self.radius[me] <= RADII[level]:
-            level += 1
-        if len(members) == 1 or level == len(RADII):
-            self.order[start : start + len(members)] = members
-            return me
-        for head, group in net(self.given, members, RADII[level]):
-            self.kids[me].append(self._node(level + 1, group, start, head))
-            start += len(group)
-        return me
-
-
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
-def net(rows: np.ndarray, members: np.ndarray, radius: float) -> list[tuple[int, np.ndarray]]:
-    """Greedy net in the members' order: (center, members nearest to it), every member within the radius of its center."""
+def net(rows: np.ndarray, members: np.ndarray, radius: float) -> list[np.ndarray]:
+    """Greedy net in the members' order: groups that begin with their center, all within the radius of it. The first
+    member is the first center, so a level's centers are centers of the next level too."""
     near = 1 - radius * radius / 2
     heads: list[int] = []
     owner = np.empty(len(members), int)
@@ -109,30 +75,79 @@ def net(rows: np.ndarray, members: np.ndarray, radius: float) -> list[tuple[int,
         open_ = np.flatnonzero(best < near)
         if len(open_):
             inner = rows[part[open_]] @ rows[part[open_]].T
+            crowd = (inner >= near).sum(axis=1) > 1
             for i, k in enumerate(open_):
                 if best[k] < near:
-                    mine = inner[i] > best[open_]
-                    mine[i] = True
-                    best[open_[mine]] = inner[i][mine]
-                    best[k] = 1.0
-                    who[open_[mine]] = len(heads)
+                    if crowd[i]:
+                        mine = inner[i] > best[open_]
+                        best[open_[mine]] = inner[i][mine]
+                        who[open_[mine]] = len(heads)
+                    best[k], who[k] = np.inf, len(heads)
                     heads.append(int(part[k]))
         owner[at : at + len(part)] = who
-    order = np.argsort(owner, kind="stable")
-    cuts = np.flatnonzero(np.diff(owner[order])) + 1
-    return [(heads[owner[g[0]]], members[g]) for g in np.split(order, cuts)]
+    order = np.lexsort((members != np.array(heads)[owner], owner))
+    return np.split(members[order], np.flatnonzero(np.diff(owner[order])) + 1)
+
+
+def planted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A cover tree over unit vectors, as an order of the rows and the coarsest level at which each begins a node.
+
+    Nodes of a level are runs of rows that begin with their center; nodes of the next level divide them.
+    """
+    order = np.arange(len(rows))
+    level = np.full(len(rows), len(RADII) + 1)
+    level[:1] = 0
+    runs = [(0, len(rows))]
+    for number, radius in enumerate(RADII, 1):
+        below = []
+        for start, end in runs:
+            groups = net(rows, order[start:end], radius)
+            order[start:end] = np.concatenate(groups)
+            for g in groups:
+                level[start] = min(level[start], number)
+                if len(g) > 1:
+                    below.append((start, start + len(g)))
+                start += len(g)
+        runs = below
+    # rows alone in a node begin every finer node too
+    return order, level
+
+
+class Tree:
+    """Rows in tree order, and per level the nodes' starts, ends and covering radii (largest distances to the center)."""
+
+    def __init__(self, rows: np.ndarray, level: np.ndarray):
+        self.rows = rows
+        self.starts, self.ends, self.radius = [], [], []
+        for number in range(len(RADII) + 1):
+            starts = np.flatnonzero(level <= number)
+            if not len(rows):
+                starts = np.zeros(0, int)
+            ends = np.append(starts[1:], len(rows)) if len(starts) else starts
+            gaps = np.zeros(len(rows))
+            many = np.flatnonzero(np.repeat(ends - starts, ends - starts) > 1)
+            center = np.repeat(starts, ends - starts)[many]
+            gaps[many] = np.sqrt(np.maximum(2 - 2 * np.einsum("nd,nd->n", rows[many], rows[center]), 0))
+            self.starts.append(starts)
+            self.ends.append(ends)
+            self.radius.append(np.maximum.reduceat(gaps, starts) if len(starts) else gaps)
+
+    def kids(self, level: int, node: int) -> range:
+        """The next level's nodes below a node."""
+        lo, hi = np.searchsorted(self.starts[level + 1], [self.starts[level][node], self.ends[level][node]])
+        return range(int(lo), int(hi))
 
 
 def join(a: Tree, b: Tree, limit: float, same: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Dual traversal: links of every row of ``a`` and of ``b``, and a spanning forest of the linked rows as edges (row of a, row of b).
+    """Dual traversal: links of every row of ``a`` and of ``b``, and a spanning forest of the linked rows as edges (row of a,
+    row of b).
 
     With ``same`` the trees are one: each pair counts once for both ends and no row is its own link.
     """
     links_a, links_b = np.zeros(len(a.rows), np.int64), np.zeros(len(b.rows), np.int64)
     edges: list[tuple[int, int]] = []
     near = 1 - limit * limit / 2
-
-    # parts found connected so far; a node of b is numbered behind those of a
+    # parts found connected so far; a row of b is numbered behind those of a
     shift = 0 if same else len(a.rows)
     part = np.arange(len(a.rows) + (0 if same else len(b.rows)))
 
@@ -161,59 +176,52 @@ def join(a: Tree, b: Tree, limit: float, same: bool) -> tuple[np.ndarray, np.nda
             for i in np.flatnonzero(hit.any(axis=1)):
                 connect(np.array([at + i]), t[0] + np.flatnonzero(hit[i]))
 
-    def leaves(s: tuple[int, int], t: tuple[int, int]) -> None:
-        table(s, t, False)
-
-    radius_a, radius_b = np.array(a.radius), np.array(b.radius)
-    todo: list[tuple[int, int]] = [(0, 0)] if len(a.rows) and len(b.rows) else []
+    todo: list[tuple[int, int, int, bool]] = [(0, 0, 0, same)] if len(a.rows) and len(b.rows) else []
     while todo:
-        p, q = todo.pop()
-        s, t = a.span[p], b.span[q]
-        if same and p == q:
-            if 2 * a.radius[p] <= limit - SLACK:
+        level, p, q, own = todo.pop()
+        s, t = (a.starts[level][p], a.ends[level][p]), (b.starts[level][q], b.ends[level][q])
+        members = (s[1] - s[0]) * (t[1] - t[0])
+        if own and 2 * a.radius[level][p] <= limit - SLACK:
+            if s[1] - s[0] > 1:
                 links_a[s[0] : s[1]] += s[1] - s[0] - 1
-                if s[1] - s[0] > 1:
-                    connect(np.arange(s[0], s[0] + 1), np.arange(s[0] + 1, s[1]))
-            elif not a.kids[p]:
-                table(s, s, True)
-            else:
-                kids = a.kids[p]
-                todo += [(k, k) for k in kids if a.span[k][1] - a.span[k][0] > 1]
-                for i, j, gap in pairs(a, kids, b, kids, limit, radius_a, radius_b, upper=True):
-                    settle(a, b, i, j, gap, limit, whole, leaves, todo)
+                connect(np.arange(s[0], s[0] + 1), np.arange(s[0] + 1, s[1]))
             continue
-        # both sides are split, so that their children meet in one table
-        left, right = a.kids[p] or [p], b.kids[q] or [q]
-        if left == [p] and right == [q]:
-            leaves(s, t)
+        if level == len(RADII) or level and members <= SMALL:
+            table(s, t, own)
             continue
-        for i, j, gap in pairs(a, left, b, right, limit, radius_a, radius_b):
-            settle(a, b, i, j, gap, limit, whole, leaves, todo)
+        left, right = a.kids(level, p), b.kids(level, q)
+        if own:
+            sizes = a.ends[level + 1][left] - a.starts[level + 1][left]
+            todo += [(level + 1, left[k], left[k], True) for k in np.flatnonzero(sizes > 1).tolist()]
+        for i, j in near_nodes(a, left, b, right, level + 1, limit, own):
+            gap = distances(a.rows[a.starts[level + 1][i]][None], b.rows[b.starts[level + 1][j]][None])[0, 0]
+            reach = a.radius[level + 1][i] + b.radius[level + 1][j]
+            if gap - reach > limit + SLACK:
+                continue
+            if gap + reach <= limit - SLACK:
+                whole((a.starts[level + 1][i], a.ends[level + 1][i]), (b.starts[level + 1][j], b.ends[level + 1][j]))
+            else:
+                todo.append((level + 1, i, j, False))
     if same:
         return links_a + links_b, links_a + links_b, edges
     return links_a, links_b, edges
 
 
-def pairs(a: Tree, left: list[int], b: Tree, right: list[int], limit: float, radius_a, radius_b, upper: bool = False) -> Iterator[tuple[int, int, float]]:
-    """Pairs of nodes whose closest members may be near enough, with the distance of their centers."""
-    right_rows, right_radius = b.center_row[right], radius_b[right]
+def near_nodes(a: Tree, left: range, b: Tree, right: range, level: int, limit: float, upper: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of nodes that single precision and the largest radius on the right cannot rule out."""
+    if not len(left) or not len(right):
+        return
+    others = b.rows[b.starts[level][right]].astype(np.float32)
+    most = limit + float(b.radius[level][right].max()) + ROUGH
     for at in range(0, len(left), STEP):
-        part = left[at : at + STEP]
-        gap = distances(a.center_row[part], right_rows)
-        keep = gap - radius_a[part][:, None] - right_radius[None, :] <= limit + SLACK
+        part = np.arange(left[0] + at, left[0] + min(at + STEP, len(left)))
+        reach = np.minimum(most + a.radius[level][part], 2.0)
+        keep = a.rows[a.starts[level][part]].astype(np.float32) @ others.T >= (1 - reach * reach / 2 - ROUGH).astype(np.float32)[:, None]
+        i, j = np.divmod(np.flatnonzero(keep), len(right))
+        i, j = part[i], right[0] + j
         if upper:
-            keep &= np.arange(at, at + len(part))[:, None] < np.arange(len(right))[None, :]
-        for i, j in zip(*np.nonzero(keep), strict=True):
-            yield part[i], right[j], float(gap[i, j])
-
-
-def settle(a: Tree, b: Tree, p: int, q: int, gap: float, limit: float, whole, leaves, todo) -> None:
-    if gap + a.radius[p] + b.radius[q] <= limit - SLACK:
-        whole(a.span[p], b.span[q])
-    elif a.kids[p] or b.kids[q]:
-        todo.append((p, q))
-    else:
-        leaves(a.span[p], b.span[q])
+            i, j = i[i < j], j[i < j]
+        yield from zip(i.tolist(), j.tolist(), strict=True)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -268,36 +276,45 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     pairs_of = pairs_of.withColumn("task", F.struct("c", "i", "d", "j"))
     sizes = spark.createDataFrame([(int(c), n) for c, n in blocks.items()], "cell int, n int")
     dealt = placed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), "n").cast("int"))
+
+    def plant(table):
+        """One block's tree: its rows with their place and level."""
+        table = table.sort_by([("vec_id", "ascending"), ("v", "ascending")])
+        order, level = planted(pad(table.column("v").to_pylist(), width))
+        table = table.select(["cell", "block", "vec_id", "v"]).take(pa.array(order))
+        return table.append_column("place", pa.array(np.arange(len(order)), pa.int32())).append_column("level", pa.array(level, pa.int32()))
+
+    trees = dealt.select("cell", "block", "vec_id", "v").groupBy("cell", "block").applyInArrow(plant, "cell int, block int, vec_id long, v binary, place int, level int")
+    trees = written(trees, "vector-trees")
     ends = pairs_of.select("task", F.col("c").alias("cell"), F.col("i").alias("block"), F.lit(0).alias("side")).union(
         pairs_of.where("c < d OR i < j").select("task", F.col("d").alias("cell"), F.col("j").alias("block"), F.lit(1).alias("side"))
     )
-    sent = dealt.join(ends, ["cell", "block"]).select("task", "side", "vec_id", "v")
-
-    def traverse(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "vec_id", "v"], kind="stable")
-        sides = [pdf[pdf["side"] == k] for k in (0, 1)]
-        ids = [s["vec_id"].to_numpy() for s in sides]
-        trees = [Tree(pad(s["v"].tolist(), width)) for s in sides if len(s)]
-        same = len(sides[1]) == 0 and len(trees) == 1 and _own(pdf)
-        if not trees or (len(trees) == 1 and not same):
-            return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
-        other = trees[0] if same else trees[1]
-        left = ids[0][trees[0].order]
-        right = left if same else ids[1][other.order]
-        links_a, links_b, edges = join(trees[0], other, limit, same)
-        tree = [(int(left[i]), int(right[j])) for i, j in edges]
-        a, n = list(left[links_a > 0]), list(links_a[links_a > 0])
+    sent = trees.join(ends, ["cell", "block"]).select("task", "side", "vec_id", "v", "place", "level")
+
+    def traverse(key, table):
+        table = table.sort_by([("side", "ascending"), ("place", "ascending")])
+        side, ids, level = (table.column(c).to_numpy() for c in ("side", "vec_id", "level"))
+        rows = pad(table.column("v").to_pylist(), width)
+        same = key[0].as_py() == key[2].as_py() and key[1].as_py() == key[3].as_py()
+        cut = len(side) if same else int((side == 0).sum())
+        first = Tree(rows[:cut], level[:cut])
+        other = first if same else Tree(rows[cut:], level[cut:])
+        left, right = ids[:cut], ids[:cut] if same else ids[cut:]
+        links_a, links_b, edges = join(first, other, limit, same)
+        a, n = left[links_a > 0], links_a[links_a > 0]
         if not same:
-            a += list(right[links_b > 0])
-            n += list(links_b[links_b > 0])
+            a, n = np.concatenate([a, right[links_b > 0]]), np.concatenate([n, links_b[links_b > 0]])
         # rows (a, null, n): links of a; rows (a, b, 0): edges
-        return pd.DataFrame({"a": np.array(a + [x for x, _ in tree], np.int64), "b": pd.array([None] * len(a) + [y for _, y in tree], "Int64"), "n": np.array(n + [0] * len(tree), np.int64)})
-
-    def _own(pdf: pd.DataFrame) -> bool:
-        task = pdf["task"].iloc[0]
-        return (task["c"], task["i"]) == (task["d"], task["j"])
-
-    found = written(sent.groupBy("task").applyInPandas(traverse, "a long, b long, n long"), "vector-links")
+        return pa.table(
+            {
+                "a": pa.array(np.concatenate([a, left[[i for i, _ in edges]]]) if edges else a, pa.int64()),
+                "b": pa.array([None] * len(a) + [int(right[j]) for _, j in edges], pa.int64()),
+                "n": pa.array(np.concatenate([n, np.zeros(len(edges), np.int64)]), pa.int64()),
+            }
+        )
+
+    work = sent.select("task.*", "side", "vec_id", "v", "place", "level").groupBy("c", "i", "d", "j")
+    found = written(work.applyInArrow(traverse, "a long, b long, n long"), "vector-links")
     links = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n_links"))
     classes = components(found.where("b IS NOT NULL AND a <> b"))
     return (

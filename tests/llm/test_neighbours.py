@@ -26,23 +26,35 @@ def brute(ids, rows, threshold=0.9):
     return {i: (int(h.sum()), c) for i, h, c in zip(ids, hit, label, strict=True)}
 
 
+def tree_of(rows):
+    order, level = neighbours.planted(rows)
+    assert sorted(order) == list(range(len(rows)))
+    return neighbours.Tree(rows[order], level)
+
+
 def test_tree_covers_and_levels_are_nets():
     rng = np.random.default_rng(3)
-    tree = neighbours.Tree(clustered(rng, 400))
-    assert sorted(tree.order) == list(range(400))
-    for p, (start, end) in enumerate(tree.span):
-        gaps = neighbours.distances(tree.rows[start:end], tree.center_row[p : p + 1])
-        assert gaps.max() <= tree.radius[p] + 1e-12
-        if tree.kids[p]:
-            assert [tree.span[tree.kids[p][0]][0], tree.span[tree.kids[p][-1]][1]] == [start, end]
+    tree = tree_of(clustered(rng, 400))
+    for number, radius in enumerate(neighbours.RADII, 1):
+        starts, ends = tree.starts[number], tree.ends[number]
+        assert starts[0] == 0 and (ends[:-1] == starts[1:]).all() and ends[-1] == 400
+        assert set(tree.starts[number - 1]) <= set(starts)  # nested
+        for s, e, r in zip(starts, ends, tree.radius[number], strict=True):
+            assert neighbours.distances(tree.rows[s:e], tree.rows[s : s + 1]).max() <= max(r, 1e-7) + 1e-9
+            assert r <= radius + 1e-9
+        for p in range(len(tree.starts[number - 1])):
+            heads = tree.rows[starts[list(tree.kids(number - 1, p))]]
+            gaps = neighbours.distances(heads, heads) + 9 * np.eye(len(heads))
+            assert gaps.min() > radius - 1e-9
 
 
 @pytest.mark.parametrize("limit", [0.1, 0.4472135955, 1.0])
-def test_dual_traversal_is_exact(limit):
+def test_dual_traversal_is_exact(limit, monkeypatch):
     rng = np.random.default_rng(4)
     rows = clustered(rng, 300)
     near = 1 - limit * limit / 2
-    a, b = neighbours.Tree(rows[:170]), neighbours.Tree(rows[170:])
+    monkeypatch.setattr(neighbours, "SMALL", 30)
+    a, b = tree_of(rows[:170]), tree_of(rows[170:])
     la, lb, _ = neighbours.join(a, b, limit, False)
     hit = a.rows @ b.rows.T >= near
     assert (la == hit.sum(axis=1)).all() and (lb == hit.sum(axis=0)).all()
