@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators import models, planning, queue, rasters, tiles
+from tessera.operators import engine, models, planning, queue, rasters, tiles
+from tessera.streaming import queue as streams
 
-MODULES: list = [planning, rasters, tiles, queue, models]
+MODULES: list = [planning, rasters, tiles, queue, models, engine, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
