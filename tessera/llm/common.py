@@ -67,8 +67,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int
     pairs = edges.select(
         F.greatest(left, right).alias("u"), F.least(left, right).alias("v")
     ).where(F.col("u").isNotNull() & F.col("v").isNotNull() & F.col(left).isNotNull() & F.col(right).isNotNull())
+    pairs = written(pairs.distinct(), "links")  # whatever makes the edges runs once
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("id"))
-    links = written(pairs.where("u <> v").distinct(), "links")
+    links = pairs.where("u <> v")
     state = None
     for _ in range(rounds):
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

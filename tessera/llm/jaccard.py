@@ -34,6 +34,12 @@ BLOCK = 1024
 DEMOTED = 1_000_000
 #: Rows of (pivot, document) that are broadcast to fetch texts; more are joined by shuffling.
 BROADCAST_ROWS = 500_000
+#: Documents of a candidate component that are sent to one task; larger components are decided pair by pair.
+TOGETHER = 512
+#: Rows and shingles of a strip, and cells of the table it is multiplied with.
+STRIP_ROWS, STRIP_SHINGLES, STRIP_CELLS = 128, 1 << 16, 1 << 22
+#: Bytes that are hashed at once.
+SEGMENT = 1 << 18
 #: Bits of the parity sketch: each differing shingle flips one, so differing bits bound the difference from below.
 BITS = 1024
 
@@ -56,23 +62,39 @@ def _mix(z: np.ndarray) -> np.ndarray:
 def _tables(size: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < size:
-        size = max(size, 1 << 20)
+        size = max(size, SEGMENT + 1)
         _powers[:] = [np.cumprod(np.concatenate([np.ones(1, U), np.full(size, x % 2**64, U)]), dtype=U) for x in (_BASE, pow(_BASE, -1, 2**64))]
     return _powers
 
 
+def _word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of words, a segment of the bytes at a time, so that memory does not follow the text's length."""
+    word = np.empty(len(begin), U)
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(begin, begin[i] + SEGMENT)))
+        start, stop = begin[i], end[j - 1]
+        power, inverse = _tables(stop - start + 1)
+        total = np.concatenate([np.zeros(1, U), np.cumsum(_BYTE[data[start:stop]] * power[: stop - start], dtype=U)])
+        b, e = begin[i:j] - start, end[i:j] - start
+        word[i:j] = _mix((total[e] - total[b]) * inverse[b] + (e - b).astype(U))
+        i = j
+    return word
+
+
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """Per text the sorted distinct 64-bit hashes of its word shingles; one hash for the whole of a shorter text."""
     raw = [(t or "").encode() for t in texts]
+    if len(raw) > 1 and sum(map(len, raw)) > 8 * SEGMENT:
+        half = len(raw) // 2
+        return shingle_sets(texts[:half], words) + shingle_sets(texts[half:], words)
     data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
     if not len(data):
         return [np.zeros(0, U) for _ in texts]
-    power, inverse = _tables(len(data) + 1)
     space = _IS_SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
     begin, end = edge[::2], edge[1::2]
-    total = np.concatenate([np.zeros(1, U), np.cumsum(_BYTE[data] * power[: len(data)], dtype=U)])
-    word = _mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(U))
+    word = _word_hashes(data, begin, end)
     bounds = np.cumsum([0, *(len(r) + 1 for r in raw)])
     first = np.searchsorted(begin, bounds)
     folded = _mix(word + U(words))
@@ -242,7 +264,7 @@ class Join:
         return self.docs.join(side, F.col("doc_id") == F.col(key)).drop("doc_id")
 
     def verified(self, pairs: DataFrame, points: DataFrame) -> DataFrame:
-        """Linked ones of candidate pairs (a < b): a is the pivot of a region that holds its partners."""
+        """Links that decide candidate pairs (a, b): the linked pairs themselves, or a forest that connects them."""
         bits = points.select("doc_id", "n", "sketch")
         near = pairs.join(bits.toDF("a", "na", "sa"), "a").join(bits.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
 
@@ -257,7 +279,21 @@ class Join:
                 keep = pa.array(linked((size - apart) // 2, size))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-        near = near.mapInArrow(by_sketch, "a long, b long").distinct()
+        near = written(near.mapInArrow(by_sketch, "a long, b long").distinct(), "jaccard-pairs")
+        # every link lies in a component of the candidates: a document's text goes to its component, once
+        classes = components(near)
+        classes = written(classes.select(F.col("component_id").alias("p"), F.col("id").alias("y")), "jaccard-components")
+        sizes = classes.groupBy("p").count()
+        small = classes.join(sizes.where(F.col("count") <= TOGETHER), "p").select("p", "y")
+        rows = self.fetched(small, "y").select("p", "y", "text").repartition("p").sortWithinPartitions("p", "y")
+        found = rows.mapInArrow(_components, "a long, b long")
+        large = sizes.where(F.col("count") > TOGETHER)
+        if large.isEmpty():
+            return found
+        rest = near.join(classes.join(large, "p").select(F.col("y").alias("a")), "a", "left_semi")
+        return found.union(self.pair_by_pair(rest))
+
+    def pair_by_pair(self, near: DataFrame) -> DataFrame:
         wanted = near.select(F.col("a").alias("p"), F.col("b").alias("y"))
         wanted = wanted.union(wanted.select("p", F.col("p").alias("y")).distinct())
         rows = self.fetched(wanted, "y").select("p", "y", "text").repartition("p").sortWithinPartitions("p", F.col("y") != F.col("p"), "y")
@@ -332,15 +368,19 @@ class Join:
 
     def links(self, points: DataFrame, reps: DataFrame) -> DataFrame:
         """Edges (a, b) between representatives of equal sets that connect all that is linked."""
-        only = reps.select(F.col("rep").alias("x")).distinct()
-        first = written(regions(spread(self.prefixes(None).join(only, "x", "left_semi"))), "jaccard-regions")
+        # copies are left out: by their ids where these are few enough to send, else by a join
+        known = points.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "fp").join(reps, "fp")
+        copies = known.where("doc_id <> rep").select(F.col("doc_id").alias("x")).distinct()
+        copies = written(copies.join(reps, F.col("x") == F.col("rep"), "left_anti"), "jaccard-copies")
+        copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies.hint("merge")
+        first = written(regions(spread(self.prefixes(None).join(copies, "x", "left_anti"))), "jaccard-regions")
         pairs = first.where("kind = 0")
         crowds = first.where("kind = 1").groupBy("a").count()
         large = written(crowds.orderBy(F.desc("count"), "a").limit(DEMOTED).select("a"), "jaccard-demoted")
         demoted = np.sort(np.array([r.a for r in large.toLocalIterator()], np.int64).view(U))
         found = None
         if len(demoted):
-            second = written(regions(spread(self.prefixes(demoted).join(only, "x", "left_semi"))), "jaccard-regions")
+            second = written(regions(spread(self.prefixes(demoted).join(copies, "x", "left_anti"))), "jaccard-regions")
             pairs = pairs.union(second.where("kind = 0"))
             members = second.where("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("x"))
             if len(demoted) == DEMOTED:
@@ -351,8 +391,31 @@ class Join:
         return checked if found is None else checked.union(found)
 
 
+def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Forests of the links inside groups of rows (group, id, text) that stand together."""
+    key, ids, sets = None, [], []
+
+    def decided() -> pa.RecordBatch:
+        every = np.ones(len(ids), bool)
+        edges = [(ids[i], ids[j]) for i, j in block_links(sets, every, every)]
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for p, y, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(part.column(2).to_pylist()), strict=True):
+                if p != key:
+                    if len(ids) > 1:
+                        yield decided()
+                    key, ids, sets = p, [], []
+                ids.append(y)
+                sets.append(s)
+    if len(ids) > 1:
+        yield decided()
+
+
 def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: Fraction = THRESHOLD) -> list[tuple[int, int]]:
-    """A spanning forest of the linked pairs (row of left, row of right), decided exactly.
+    """Linked pairs (row of left, row of right) that connect all that is linked, decided exactly.
 
     The first row is the pivot. Rows are sorted by their distance to it, and by the triangle inequality only pairs whose
     distances differ by at most the bound are computed, strip by strip, as products of incidence rows.
@@ -360,6 +423,9 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thr
     if not len(sets):
         return []
     size = np.array([len(s) for s in sets])
+    if len(sets) <= 6:
+        pairs = [(i, j) for i in np.flatnonzero(left).tolist() for j in np.flatnonzero(right).tolist() if i != j]
+        return [(i, j) for i, j in pairs if linked(common(sets[i], sets[j]), int(size[i] + size[j]), threshold)]
     to_pivot = np.array([1 - (c := common(sets[0], s)) / max(1, len(sets[0]) + len(s) - c) for s in sets])
     bound = 1 - float(threshold) + 1e-9
     shingle, column = np.unique(np.concatenate(sets), return_inverse=True)
@@ -373,13 +439,14 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thr
     order_r = np.flatnonzero(right)[np.argsort(to_pivot[right], kind="stable")]
     part = np.arange(len(sets))
     edges: list[tuple[int, int]] = []
-    for at in range(0, len(order_l), 128):
-        q = order_l[at : at + 128]
-        lo, hi = np.searchsorted(to_pivot[order_r], [to_pivot[q[0]] - bound, to_pivot[q[-1]] + bound], "left")
-        window = order_r[lo : max(lo, np.searchsorted(to_pivot[order_r], to_pivot[q[-1]] + bound, "right"))]
-        if not len(window):
-            continue
-        # columns of this strip only: the table stays small however many shingles the block has
+    at = 0
+    while at < len(order_l):
+        # a strip holds a bounded number of shingles, so its table is small however long the texts are
+        held = np.cumsum(size[order_l[at : at + STRIP_ROWS]])
+        rows = max(1, int(np.searchsorted(held, STRIP_SHINGLES, "right")))
+        q, at = order_l[at : at + rows], at + rows
+        lo = np.searchsorted(to_pivot[order_r], to_pivot[q[0]] - bound, "left")
+        window = order_r[lo : np.searchsorted(to_pivot[order_r], to_pivot[q[-1]] + bound, "right")]
         used = np.unique(np.concatenate([column[starts[i] : starts[i + 1]] for i in q]))
         if not len(used):
             continue
@@ -388,8 +455,9 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thr
         table = np.zeros((len(q), len(used)), np.float32)
         for k, i in enumerate(q):
             table[k, place[column[starts[i] : starts[i + 1]]]] = 1
-        for w in range(0, len(window), 512):
-            r = window[w : w + 512]
+        wide = max(1, STRIP_CELLS // len(used))
+        for w in range(0, len(window), wide):
+            r = window[w : w + wide]
             grid = np.zeros((len(r), len(used)), np.float32)
             for k, i in enumerate(r):
                 spots = place[column[starts[i] : starts[i + 1]]]

@@ -102,6 +102,20 @@ def test_odd_rows(spark):
     assert jaccard.join(df.where("doc_id = 1")).count() == 1
 
 
+def test_an_id_with_several_texts(spark):
+    one, two = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
+    rows = [(1, one), (2, one), (2, two), (3, two + " x"), (4, "other")]
+    got = {(r.doc_id, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_large_components_are_decided_by_pairs(spark, monkeypatch):
+    rows = corpus(random.Random(8), 150)
+    monkeypatch.setattr(jaccard, "TOGETHER", 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_sql(spark, sf_dir):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
