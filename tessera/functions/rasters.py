@@ -31,6 +31,11 @@ def dct_matrix() -> list[list[float]]:
     return [[(math.sqrt(0.125) if u == 0 else 0.5) * math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)]
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often lambdas in ``body`` use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def channel(pixel: Column, shift: int) -> Column:
     return F.shiftrightunsigned(pixel, shift).bitwiseAND(255)
 

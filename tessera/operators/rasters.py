@@ -100,15 +100,18 @@ def quant_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_dct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8x8 transform of every block, quantised by half-up rounding, in zigzag order: one row per place."""
-    rows = F.array(*[F.array(*map(F.lit, r)) for r in R.dct_matrix()])
-    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 255).alias("b"), rows.alias("m"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    eight = F.sequence(F.lit(0), F.lit(7))
-    across = F.transform(eight, lambda y: F.transform(eight, lambda u: dot(F.slice("b", y * 8 + 1, 8), F.get("m", u))))
-    e = e.withColumn("t", across)
-    down = F.transform(eight, lambda v: F.transform(eight, lambda u: dot(F.transform(eight, lambda y: F.get(F.get("t", y), u)), F.get("m", v))))
-    e = e.withColumn("f", F.flatten(down))
-    zig = e.select("vec_id", F.posexplode(F.transform(F.array(*map(F.lit, R.zigzag())), lambda z: F.struct(z.alias("z"), F.get("f", z).alias("v")))).alias("k", "s"))
+    m = R.dct_matrix()
+    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
+    # both passes are sums of products written out as SQL text: one expression a value, the array before it bound once
+    across = ", ".join(" + ".join(f"{m[u][x]!r}D * a[{y * 8 + x}]" for x in range(8)) for y in range(8) for u in range(8))
+    down = ", ".join(" + ".join(f"{m[v][y]!r}D * a[{y * 8 + u}]" for y in range(8)) for v in range(8) for u in range(8))
+    zigzag = ", ".join(f"struct({z} AS z, a[{z}] AS v)" for z in R.zigzag())
+    e = e.select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 255).alias("b"))
+    passes = "array(b)"
+    for step in (across, down, zigzag):
+        passes = f"transform({passes}, a -> array({step}))"
+    e = e.select("vec_id", F.expr(f"{passes}[0]").alias("f"))
+    zig = e.select("vec_id", F.posexplode("f").alias("k", "s"))
     return zig.select("vec_id", "k", c("s.z").alias("place"), F.round("s.v", 3).alias("coefficient"), R.half_up(F.round(c("s.v") / 16, 6)).cast("int").alias("quantised"))
 
 
