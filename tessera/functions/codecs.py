@@ -164,3 +164,56 @@ def encode(fmt: str, rows: Iterable[tuple[int, bytes]], width: int, height: int,
     """(format written, bytes)."""
     fmt = fmt if fmt in ENCODERS else "jpeg"
     return fmt, ENCODERS[fmt](rows, width, height, max(0, (100 - min(100, max(1, quality))) * 9 // 99) if fmt == "png" else quality)
+
+
+def _unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
+    """Rows of a PNG stream without their filters."""
+    out = np.zeros((len(raw) + 1, raw.shape[1] - 1 + step), np.int64)
+    for y, line in enumerate(raw, 1):
+        kind, body = int(line[0]), line[1:].astype(np.int64)
+        up = out[y - 1]
+        if kind == 0:
+            out[y, step:] = body
+        elif kind == 2:
+            out[y, step:] = body + up[step:] & 255
+        else:
+            row = out[y]
+            for i, v in enumerate(body.tolist(), step):
+                a, b, c = int(row[i - step]), int(up[i]), int(up[i - step])
+                if kind == 1:
+                    guess = a
+                elif kind == 3:
+                    guess = (a + b) // 2
+                else:
+                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
+                row[i] = v + guess & 255
+    return out[1:, step:].astype(np.uint8)
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    """(h, w, 3) of a non-interlaced 8-bit PNG; grey is repeated and alpha dropped."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG")
+    at, body, w, h, kind = 8, b"", 0, 0, 0
+    while at + 8 <= len(data):
+        n, name = struct.unpack(">I4s", data[at : at + 8])
+        part = data[at + 8 : at + 8 + n]
+        if name == b"IHDR":
+            w, h, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", part)
+            if depth != 8 or kind not in (0, 2, 4, 6) or interlaced:
+                raise ValueError("only 8-bit grey or RGB without interlacing is read")
+        elif name == b"IDAT":
+            body += part
+        at += 12 + n
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}[kind]
+    try:
+        raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * channels)
+    except zlib.error as problem:
+        raise ValueError(str(problem)) from problem
+    pixels = _unfiltered(raw, channels).reshape(h, w, channels)
+    return pixels[:, :, :3] if channels >= 3 else pixels[:, :, :1].repeat(3, axis=2)
+
+
+#: Decoders by MIME type; others are added where their library is installed.
+DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {"image/png": decode_png}

@@ -124,3 +124,29 @@ def publish(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         fs.delete(old, True)
     finally:
         fs.delete(staged, True)
+
+
+def decoded_tiles(files: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Pixels (path, tile_no, x, y, tw, th, rgb) of tiles (path, tile_no, x, y, tw, th) of files (path, content).
+
+    An image is decoded once for all of its tiles, which leave one by one; a tile that the image does not hold, and images
+    that cannot be read, are left out. One rectangle per image is a region read.
+    """
+    lists = tiles.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("tile_no", "x", "y", "tw", "th"))).alias("tiles"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "tile_no", "x", "y", "tw", "th", "rgb"]
+        for batch in batches:
+            for path, content, wanted in zip(batch["path"], batch["content"], batch["tiles"], strict=True):
+                found = header(bytes(content[:1 << 18]))
+                try:
+                    pixels = codecs.DECODERS[found[2]](bytes(content)) if found else None
+                except (KeyError, ValueError):
+                    pixels = None
+                for t in wanted if pixels is not None else ():
+                    cut = pixels[t["y"] : t["y"] + t["th"], t["x"] : t["x"] + t["tw"]]
+                    if cut.shape[:2] == (t["th"], t["tw"]):
+                        yield pd.DataFrame([(path, t["tile_no"], t["x"], t["y"], t["tw"], t["th"], cut.tobytes())], columns=columns)
+
+    joined = files.select("path", "content").join(lists, "path")
+    return joined.mapInPandas(run, "path string, tile_no int, x int, y int, tw int, th int, rgb binary")

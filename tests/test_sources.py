@@ -134,6 +134,37 @@ def test_files_round_trip(spark, tmp_path):
     assert found == [(20, 9, "image/jpeg", False), (20, 9, "image/png", False)]
 
 
+def filtered_png(p, kinds):
+    """A PNG whose rows use the given filters in turn."""
+    h, w, n = p.shape
+    raw, up = b"", np.zeros(w * n, int)
+    for y in range(h):
+        line, kind = p[y].ravel().astype(int), kinds[y % len(kinds)]
+        left, corner = np.r_[np.zeros(n, int), line[:-n]], np.r_[np.zeros(n, int), up[:-n]]
+        near = np.stack([left, up, corner])
+        pick = np.abs(left + up - corner - near).argmin(axis=0)
+        guess = {0: 0 * line, 1: left, 2: up, 3: (left + up) // 2, 4: np.choose(pick, near)}[kind]
+        raw += bytes([kind]) + (line - guess & 255).astype(np.uint8).tobytes()
+        up = line
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[n], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_decoding_and_tiles(spark):
+    rng = np.random.default_rng(1)
+    p = rng.integers(0, 256, (13, 17, 4)).astype(np.uint8)
+    assert (codecs.decode_png(filtered_png(p, (0, 1, 2, 3, 4))) == p[:, :, :3]).all()
+    assert (codecs.decode_png(filtered_png(p[:, :, :1], (4, 3))) == p[:, :, :1]).all()
+    with pytest.raises(ValueError):
+        codecs.decode_png(b"\x89PNG\r\n\x1a\n")
+    files = spark.createDataFrame([("a", filtered_png(p[:, :, :3].copy(), (4,))), ("bad", b"x")], "path string, content binary")
+    tiles = spark.createDataFrame([("a", 0, 0, 0, 8, 8), ("a", 1, 8, 5, 9, 8), ("a", 2, 9, 9, 9, 9), ("bad", 0, 0, 0, 1, 1)], "path string, tile_no int, x int, y int, tw int, th int")
+    got = {r.tile_no: r for r in images.decoded_tiles(files, tiles).collect()}
+    assert set(got) == {0, 1}
+    for r in got.values():
+        assert bytes(r.rgb) == p[r.y : r.y + r.th, r.x : r.x + r.tw, :3].tobytes()
+
+
 def test_published_whole(spark, tmp_path):
     path = str(tmp_path / "out")
     images.publish(spark.range(5), path)
