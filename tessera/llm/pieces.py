@@ -14,7 +14,6 @@ import itertools
 import math
 import re
 from collections.abc import Iterable
-from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +22,7 @@ from tessera.llm.common import map_texts, read
 
 SPACE = "▁"
 #: Distinct chunks of each of the two generations that a worker remembers; bounds its memory only.
-MEMORY = 300_000
+MEMORY = 250_000
 #: Chunks of up to so many symbols keep their agenda in a list, longer ones in a heap.
 SHORT = 24
 MODEL = "piece_bpe_32k.model"
@@ -68,6 +67,7 @@ class Agenda:
             elif piece.type != 3:
                 raise ValueError("only normal, byte, control and unknown pieces are supported")
         self.surface = proto.trainer_spec.unk_surface
+        self.plain_ids = frozenset(i for _, i in self.pieces.values())
         # a space may start a piece or fill it, so no piece crosses from other text to a space
         for name in self.pieces:
             if SPACE in name.lstrip(SPACE):
@@ -78,9 +78,11 @@ class Agenda:
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]")
         if "\n" not in self.alone:
             raise ValueError("a piece holds a line end and other text")
-        #: chunk: (number of ids, ids in decimal with a comma after each, decoded text)
-        self.memo: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        #: chunk: its ids in decimal with a comma after each
+        self.memo: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        #: chunk: its decoded text, where that is another one
+        self.altered: dict[str, str] = {}
 
     def merge(self, chunk: str) -> list[str]:
         """Symbols of a chunk: the best-scored adjacent pair is joined first, the leftmost of equals."""
@@ -150,12 +152,15 @@ class Agenda:
             if list(mine) != ids[2:]:
                 raise AssertionError(f"agenda and library differ on {chunk!r}")
         for chunk, ids in zip(new, made, strict=True):
-            self.memo[chunk] = (len(ids), "".join(f"{i}," for i in ids), self.surfaces(ids))
+            self.memo[chunk] = ",".join(map(str, ids)) + ","
+            if (surface := self.surfaces(ids)) != chunk:
+                self.altered[chunk] = surface
 
-    def coded(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
-        """The remembered codes of each text's chunks."""
+    def coded(self, texts: list[str]) -> list[tuple[str, str]]:
+        """For each text its ids in decimal with a comma after each, and its decoded text, escaped."""
         if len(self.memo) > MEMORY:
             self.memo, self.older = {}, self.memo
+            self.altered = {c: s for c, s in self.altered.items() if c in self.older}
         cut = [self.chunks(t) for t in texts]
         new = {c for chunks in cut for c in chunks}
         new.difference_update(self.memo)
@@ -164,14 +169,17 @@ class Agenda:
             new.discard(c)
         if new:
             self.learn(sorted(new))
-        get = self.memo.__getitem__
-        return [list(map(get, chunks)) for chunks in cut]
+        get, altered = self.memo.__getitem__, self.altered
+        return [("".join(map(get, chunks)), "".join([altered.get(c, c) for c in chunks] if altered else chunks)) for chunks in cut]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[int(i) for _, ids, _ in codes for i in ids[:-1].split(",")] for codes in self.coded(texts)]
+        return [list(map(int, ids[:-1].split(","))) if ids else [] for ids, _ in self.coded(texts)]
 
     def surfaces(self, ids: Iterable[int]) -> str:
         """The pieces' text, spaces still escaped; runs of byte pieces become UTF-8."""
+        ids = list(ids)
+        if self.plain_ids.issuperset(ids):
+            return "".join(map(self.names.__getitem__, ids))
         out: list[str] = []
         run = bytearray()
         for i in ids:
@@ -220,9 +228,9 @@ def _digest(docs: DataFrame, path: str | None, column: str, whole: bool) -> Data
     def make(texts: list[str]) -> list[list]:
         coder = agenda(path)
         codes = coder.coded(texts)
-        counts = [sum(map(itemgetter(0), c)) for c in codes]
-        ids = ["".join(map(itemgetter(1), c))[:-1] for c in codes]
-        decoded = [coder.plain("".join(map(itemgetter(2), c))) for c in codes]
+        counts = [ids.count(",") for ids, _ in codes]
+        ids = [ids[:-1] for ids, _ in codes]
+        decoded = [coder.plain(surface) for _, surface in codes]
         if whole:
             return [counts, [list(map(int, i.split(","))) if i else [] for i in ids], decoded]
         return [counts, *([hashlib.sha256(x.encode()).hexdigest() for x in part] for part in (ids, decoded))]

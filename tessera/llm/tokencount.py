@@ -21,7 +21,7 @@ from tessera.llm.common import map_texts, read
 from tessera.llm.pieces import SPACE, model_path
 
 #: Pre-tokens of each of the two generations that a worker remembers; bounds its memory only.
-MEMORY = 500_000
+MEMORY = 200_000
 #: An unknown character costs so much more than the rarest piece; neighbours count as one token.
 UNKNOWN = 10.0
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
