@@ -193,11 +193,14 @@ def judge(docs: DataFrame, labels: DataFrame, strata: str = "lang", keep: tuple[
 
 
 def passing(docs: DataFrame, labels: DataFrame, strata: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their own columns. The texts are read twice and not shuffled."""
-    slim = _slim(docs, strata, ("doc_id",))
-    cuts = calibrated(slim, labels, risk, delta)
-    whole = docs.select("text", F.col(strata).alias("_st"), F.struct(*docs.columns).alias("_row"))
-    return judged(features(whole), cuts).where("kept").select("_row.*")
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns.
+
+    The texts are read once: rows are written with their counts, the calibration reads the counts alone, and what is kept
+    is read back. Nothing that holds a text is shuffled.
+    """
+    whole = docs.select("text", F.col(strata).alias("_st"), F.col("doc_id").alias("k_doc_id"), F.struct(*docs.columns).alias("_row"))
+    rows = written(features(whole).drop("text"), "quality-rows")
+    return judged(rows, calibrated(rows.drop("_row"), labels, risk, delta)).where("kept").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
