@@ -33,7 +33,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
-    return pieces.digests(docs)
+    # a smaller memory than alone: the workers still hold what the stages before took
+    return pieces.digests(docs, memory=60_000)
 
 
 STAGES = [

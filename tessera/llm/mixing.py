@@ -107,7 +107,6 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHT
     running = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     over = steps.withColumn("cum", F.sum("n").over(running)).where(F.col("cum") > budget)
     edge = over.orderBy("step").select("step", F.col("cum") - F.col("n")).first()
-    taken = F.lit(True)
     if edge is not None:
         # the step in which the budget ends is served one by one
         line = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
@@ -127,7 +126,7 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHT
             mark = F.struct(F.lit(last.t), F.lit(last.sk), *(F.lit(x).cast("long") for x in (last.h, last.d, last.c)))
             return before | ((step(time) == F.lit(edge[0])) & (place(time) <= mark))
     else:
-        taken_copy = lambda time: taken
+        taken_copy = lambda time: F.lit(True)
     copies = sum((F.when((F.col("size") > 0) & taken_copy(finish(k)), 1).otherwise(0) for k in range(COPIES)), F.lit(0))
     return queue.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"), "key")
 

@@ -10,7 +10,9 @@ then rejects at most ``risk`` of good documents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import let, read, words, written
@@ -110,8 +112,6 @@ def ratios() -> dict[str, Column]:
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
     """P(X <= k) for X ~ Binomial(n, p) with 0 < p < 1, summed in logarithms; 1 where k > n * p (no use is made of it)."""
-    import math
-
     odds = math.log(p) - math.log1p(-p)
     first = n.cast("double") * F.lit(math.log1p(-p))
     start = F.struct(first.alias("term"), first.alias("sum"))
@@ -195,12 +195,13 @@ def judge(docs: DataFrame, labels: DataFrame, strata: str = "lang", keep: tuple[
 def passing(docs: DataFrame, labels: DataFrame, strata: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their own columns.
 
-    The texts are read once: rows are written with their counts, the calibration reads the counts alone, and what is kept
-    is read back. Nothing that holds a text is shuffled.
+    The texts are read twice, once for the calibration and once for the verdicts; neither shuffled nor written between,
+    for a copy of them would stay in the shared folder while later stages run.
     """
-    whole = docs.select("text", F.col(strata).alias("_st"), F.col("doc_id").alias("k_doc_id"), F.struct(*docs.columns).alias("_row"))
-    rows = written(features(whole).drop("text"), "quality-rows")
-    return judged(rows, calibrated(rows.drop("_row"), labels, risk, delta)).where("kept").select("_row.*")
+    slim = _slim(docs, strata, ("doc_id",))
+    cuts = calibrated(slim, labels, risk, delta)
+    whole = docs.select("text", F.col(strata).alias("_st"), F.struct(*docs.columns).alias("_row"))
+    return judged(features(whole), cuts).where("kept").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,9 +51,8 @@ def test_nulls_and_repeats(spark):
     assert pieces.encode(df.limit(0)).collect() == []
 
 
-def test_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(pieces, "MEMORY", 10)
-    coder = pieces.Agenda(pieces.model_path())
+def test_memory_is_bounded():
+    coder = pieces.Agenda(pieces.model_path(), memory=10)
     rng = random.Random(1)
     for _ in range(20):
         text = " ".join("".join(rng.choices("abcdé", k=6)) for _ in range(8))
