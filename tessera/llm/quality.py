@@ -31,8 +31,9 @@ def repeated_words(tokens: Column) -> Column:
     """Words that stand in a window of three words found twice or more, the first included.
 
     The windows' 64-bit hashes are packed with their places and sorted; a window is repeated if a
-    neighbour has the same upper bits and the same whole hash. One array per document: no row is
-    exploded and nothing is shuffled.
+    neighbour has the same whole hash. That finds all as long as different hashes differ in the upper
+    bits that are kept. Where two do not, and in texts of more than 2**20 windows, whole hashes are
+    sorted beside their places. One array per document: no row is exploded and nothing is shuffled.
     """
 
     def of(w: Column) -> Column:
@@ -44,21 +45,35 @@ def repeated_words(tokens: Column) -> Column:
         return let(hashes, from_hashes)
 
     def from_hashes(h: Column) -> Column:
-        bits = F.when(F.size(h) <= 1 << 14, 14).when(F.size(h) <= 1 << 20, 20).otherwise(31)
-        mask = F.when(F.size(h) <= 1 << 14, (1 << 14) - 1).when(F.size(h) <= 1 << 20, (1 << 20) - 1).otherwise((1 << 31) - 1)
-        mask = mask.cast("long")
-        packed = F.transform(h, lambda x, i: (x - x.bitwiseAND(mask)).bitwiseOR(i.cast("long")))
-        return let(F.struct(F.sort_array(packed).alias("p"), mask.alias("m")), lambda s: covered(h, s["p"], s["m"]))
+        mask = F.when(F.size(h) <= 1 << 14, (1 << 14) - 1).otherwise((1 << 20) - 1).cast("long")
+        packed = F.when(F.size(h) <= 1 << 20, F.transform(h, lambda x, i: (x - x.bitwiseAND(mask)).bitwiseOR(i.cast("long"))))
+        return let(F.struct(F.sort_array(packed).alias("p"), mask.alias("m")), lambda s: covered(F.coalesce(of_packed(h, s["p"], s["m"]), of_whole(h))))
+
+    def of_packed(h: Column, p: Column, mask: Column) -> Column:
+        """Places of repeated windows; null if there is nothing packed or the upper bits do not tell all hashes apart."""
+
+        def upper(x: Column) -> Column:
+            return x - x.bitwiseAND(mask)
+
+        def whole(x: Column) -> Column:
+            return F.get(h, x.bitwiseAND(mask).cast("int"))
 
-    def covered(h: Column, p: Column, mask: Column) -> Column:
         def same(x: Column, other: Column) -> Column:
-            near = (x - x.bitwiseAND(mask)) == (other - other.bitwiseAND(mask))
-            return F.coalesce(
-                near & (F.get(h, x.bitwiseAND(mask).cast("int")) == F.get(h, other.bitwiseAND(mask).cast("int"))), F.lit(False)
-            )
+            return F.coalesce((upper(x) == upper(other)) & (whole(x) == whole(other)), F.lit(False))
+
+        near = F.filter(p, lambda x, i: F.coalesce(upper(x) == upper(F.get(p, i - 1)), F.lit(False)) | F.coalesce(upper(x) == upper(F.get(p, i + 1)), F.lit(False)))
+        # runs of equal upper bits; a run has one whole hash if each of its direct neighbours has the same
+        mixed = lambda n: F.exists(F.transform(n, lambda x, i: F.coalesce((upper(x) == upper(F.get(n, i + 1))) & (whole(x) != whole(F.get(n, i + 1))), F.lit(False))), lambda x: x)
+        hits = lambda n: F.filter(n, lambda x, i: same(x, F.get(n, i - 1)) | same(x, F.get(n, i + 1)))
+        return let(near, lambda n: F.when(~mixed(n), F.transform(hits(n), lambda x: x.bitwiseAND(mask))))
+
+    def of_whole(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))
+        same = lambda x, other: F.coalesce(x["h"] == other["h"], F.lit(False))
+        return let(pairs, lambda q: F.transform(F.filter(q, lambda x, i: same(x, F.get(q, i - 1)) | same(x, F.get(q, i + 1))), lambda x: x["i"]))
 
-        hits = F.filter(p, lambda x, i: same(x, F.get(p, i - 1)) | same(x, F.get(p, i + 1)))
-        places = F.sort_array(F.transform(hits, lambda x: x.bitwiseAND(mask)))
+    def covered(found: Column) -> Column:
+        places = F.sort_array(found)
         start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
         return F.aggregate(
             places,

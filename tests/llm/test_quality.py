@@ -23,6 +23,15 @@ def test_counts(spark):
     assert got == {i: brute(t) for i, t in enumerate(texts)}
 
 
+def test_long_texts(spark):
+    # windows found twice stand alone between words of their own, so each one that is missed shows in the count
+    n = 150_000
+    text = " ".join(f"a{i % n} b{i % n} c{i % n} u{i}" for i in range(2 * n))
+    df = spark.createDataFrame([(1, text), (2, text[: len(text) // 40] * 2)], "doc_id long, text string")
+    got = {r.doc_id: r.n_repeat_words for r in quality.features(df).collect()}
+    assert got == {1: 6 * n, 2: brute(text[: len(text) // 40] * 2)[-1]}
+
+
 def test_binomial_tail(spark):
     cases = [(0, 10, 0.1), (3, 100, 0.05), (2, 4000, 0.005), (19, 4000, 0.005), (900, 200000, 0.005)]
     for k, n, p in cases:
