@@ -1,4 +1,4 @@
-"""Image encoders that work row by row: PNG (filter 0, 8-bit RGB) and baseline JPEG (4:4:4)."""
+"""Image encoders that work row by row: PNG (filter 0, 8-bit RGB) and baseline JPEG (4:4:4); decoders of PNG and baseline JPEG."""
 
 from __future__ import annotations
 
@@ -215,5 +215,185 @@ def decode_png(data: bytes) -> np.ndarray:
     return pixels[:, :, :3] if channels >= 3 else pixels[:, :, :1].repeat(3, axis=2)
 
 
+class _Scan:
+    """Bits of one stretch of a JPEG scan, between restart markers."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.held, self.count = data.replace(b"\xff\0", b"\xff"), 0, 0, 0
+
+    def fill(self, length: int) -> None:
+        while self.count < length:
+            # past the end, ones are read, as many as a code can have
+            if self.at > len(self.data) + 2:
+                raise ValueError("the JPEG's data are cut")
+            self.held = self.held << 8 | (self.data[self.at] if self.at < len(self.data) else 255)
+            self.at, self.count = self.at + 1, self.count + 8
+
+    def take(self, length: int) -> int:
+        self.fill(length)
+        self.count -= length
+        value = self.held >> self.count
+        self.held &= (1 << self.count) - 1
+        return value
+
+    def symbol(self, lookup: list[tuple[int, int]]) -> int:
+        self.fill(16)
+        length, found = lookup[self.held >> self.count - 16 & 65535]
+        if not length:
+            raise ValueError("no code of the JPEG's table")
+        self.take(length)
+        return found
+
+    def signed(self, size: int) -> int:
+        if not size:
+            return 0
+        value = self.take(size)
+        return value if value >> size - 1 else value - (1 << size) + 1
+
+
+def _lookup(table: tuple[tuple[int, ...], bytes]) -> list[tuple[int, int]]:
+    """(length, symbol) for every 16 bits that may follow."""
+    out = [(0, 0)] * 65536
+    for found, (code, length) in huffman_codes(table).items():
+        first, n = code << 16 - length, 1 << 16 - length
+        if first + n > 65536:
+            raise ValueError("a JPEG table with too many codes")
+        out[first : first + n] = [(length, found)] * n
+    return out
+
+
+def decode_jpeg(data: bytes) -> np.ndarray:
+    """(h, w, 3) of a baseline or extended sequential 8-bit JPEG with one or three components, of any sampling and with restarts."""
+    try:
+        return _decoded_jpeg(data)
+    except (IndexError, KeyError, StopIteration, struct.error) as problem:
+        raise ValueError(f"broken JPEG: {problem!r}") from problem
+
+
+def _decoded_jpeg(data: bytes) -> np.ndarray:
+    if data[:2] != b"\xff\xd8":
+        raise ValueError("no JPEG")
+    at, quant, codes, restart, adobe, parts = 2, {}, {}, 0, None, {}
+    width = height = 0
+    planes: dict[int, np.ndarray] = {}
+    while len(planes) < len(parts) or not parts:
+        while data[at] == 255 and data[at + 1] == 255:
+            at += 1
+        if data[at] != 255:
+            raise ValueError("no JPEG marker where one is due")
+        mark = data[at + 1]
+        if mark == 0xD9:
+            break
+        size = struct.unpack(">H", data[at + 2 : at + 4])[0]
+        body = data[at + 4 : at + 2 + size]
+        at += 2 + size
+        if mark == 0xDB:
+            while body:
+                n = 128 if body[0] >> 4 else 64
+                quant[body[0] & 15] = np.frombuffer(body[1 : 1 + n], ">u2" if n == 128 else np.uint8, 64).astype(float)
+                body = body[1 + n :]
+        elif mark == 0xC4:
+            while body:
+                n = sum(body[1:17])
+                codes[body[0]] = _lookup((tuple(body[1:17]), body[17 : 17 + n]))
+                body = body[17 + n :]
+        elif mark == 0xDD:
+            restart = struct.unpack(">H", body)[0]
+        elif mark == 0xEE and body[:5] == b"Adobe":
+            adobe = body[11]
+        elif mark in (0xC0, 0xC1):
+            depth, height, width, n = struct.unpack(">BHHB", body[:6])
+            parts = {body[6 + 3 * k]: (body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)}
+            if depth != 8 or n not in (1, 3) or len(parts) != n or not width or not height or any(not 1 <= f <= 4 for c in parts.values() for f in c[:2]):
+                raise ValueError("only 8-bit grey or three-component JPEGs are read")
+        elif 0xC2 <= mark <= 0xCF and mark != 0xC8 and mark != 0xCC:
+            raise ValueError("only sequential Huffman-coded JPEGs are read, no progressive ones")
+        elif mark == 0xDA:
+            if not parts:
+                raise ValueError("a scan before the frame")
+            chosen = [(body[1 + 2 * k], body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])]
+            stretches, begin = [], at
+            while True:  # to the next marker that is no restart
+                at = data.find(b"\xff", at)
+                if at < 0 or at + 1 >= len(data):
+                    at = len(data)
+                elif data[at + 1] == 0:
+                    at += 2
+                    continue
+                elif data[at + 1] == 255:
+                    at += 1
+                    continue
+                stretches.append(data[begin:at].rstrip(b"\xff") if data[at - 1 : at] == b"\xff" else data[begin:at])
+                if data[at + 1 : at + 2] and 0xD0 <= data[at + 1] <= 0xD7:
+                    at = begin = at + 2
+                    continue
+                break
+            planes |= _scanned(stretches, chosen, parts, codes, quant, restart, width, height)
+    if not parts or len(planes) < len(parts):
+        raise ValueError("a JPEG without all of its components")
+    wide, high = max(c[0] for c in parts.values()), max(c[1] for c in parts.values())
+    full = []
+    for k, (fx, fy, _) in parts.items():
+        rows, columns = np.arange(height) * fy // high, np.arange(width) * fx // wide
+        full.append(planes[k][np.ix_(rows, columns)])
+    if len(full) == 1:
+        pixels = np.repeat(full[0][:, :, None], 3, axis=2)
+    elif adobe == 0 or adobe is None and bytes(parts) == b"RGB":
+        pixels = np.stack(full, axis=2)
+    else:
+        y, cb, cr = full[0], full[1] - 128, full[2] - 128
+        pixels = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
+    return np.clip(np.floor(pixels + 0.5), 0, 255).astype(np.uint8)
+
+
+def _scanned(stretches, chosen, parts, codes, quant, restart, width, height) -> dict[int, np.ndarray]:
+    """Sample planes, 0 .. 255 and padded to whole blocks, of a scan's components."""
+    wide, high = max(c[0] for c in parts.values()), max(c[1] for c in parts.values())
+    across, down = -(-width // (8 * wide)), -(-height // (8 * high))
+    zig, dct = np.array(zigzag()), np.array(dct_matrix())
+    blocks = {k: np.zeros((down * parts[k][1], across * parts[k][0], 64)) for k, _, _ in chosen}
+    if len(chosen) == 1:  # one component alone: its own blocks, without those that only fill up
+        k, dc, ac = chosen[0]
+        fx, fy, _ = parts[k]
+        columns, lines = -(-(-(-width * fx // wide)) // 8), -(-(-(-height * fy // high)) // 8)
+        units = [[(k, dc, ac, y, x)] for y in range(lines) for x in range(columns)]
+    else:
+        units = (
+            [(k, dc, ac, v * parts[k][1] + y, u * parts[k][0] + x) for k, dc, ac in chosen for y in range(parts[k][1]) for x in range(parts[k][0])]
+            for v in range(down)
+            for u in range(across)
+        )
+    left, scan, previous = 0, None, {}
+    waiting = iter(stretches)
+    for unit in units:
+        if scan is None or restart and not left:
+            stretch = next(waiting, None)
+            if stretch is None:
+                raise ValueError("the JPEG's data are cut")
+            scan, left, previous = _Scan(stretch), restart, {}
+        left -= 1
+        for k, dc, ac, y, x in unit:
+            block = blocks[k][y, x]
+            previous[k] = block[0] = previous.get(k, 0) + scan.signed(scan.symbol(codes[dc]))
+            i = 1
+            while i < 64:
+                run = scan.symbol(codes[16 | ac])
+                if run & 15:
+                    i += run >> 4
+                    block[i] = scan.signed(run & 15)
+                    i += 1
+                elif run == 0xF0:
+                    i += 16
+                else:
+                    break
+    out = {}
+    for k, found in blocks.items():
+        flat = np.zeros_like(found)
+        flat[:, :, zig] = found * quant[parts[k][2]]
+        samples = np.einsum("uy,rcuv,vx->rycx", dct, flat.reshape(*found.shape[:2], 8, 8), dct)
+        out[k] = np.clip(np.floor(samples.reshape(found.shape[0] * 8, -1) + 128.5), 0, 255)
+    return out
+
+
 #: Decoders by MIME type; others are added where their library is installed.
-DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {"image/png": decode_png}
+DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {"image/png": decode_png, "image/jpeg": decode_jpeg}

@@ -75,6 +75,16 @@ def header(data: bytes) -> tuple | None:
     return None
 
 
+def _format(data: bytes) -> str | None:
+    """The MIME type by the first bytes, of formats whose header is not read as well; None if they are no image's."""
+    if found := header(data):
+        return found[2]
+    if data[4:8] == b"ftyp":
+        return "image/avif" if data[8:12] in (b"avif", b"avis") else "image/heif"
+    starts = {b"\x89PNG\r\n\x1a\n": "png", b"GIF8": "gif", b"BM": "bmp", b"\xff\xd8": "jpeg", b"II*\0": "tiff", b"MM\0*": "tiff", b"\xff\x0a": "jxl", b"\0\0\0\x0cJXL ": "jxl"}
+    return next((f"image/{v}" for k, v in starts.items() if data.startswith(k)), None)
+
+
 def probe(files: DataFrame) -> DataFrame:
     """Files with their header; unreadable ones go. Derived: pixels and huge."""
 
@@ -127,26 +137,37 @@ def publish(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def decoded_tiles(files: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Pixels (path, tile_no, x, y, tw, th, rgb) of tiles (path, tile_no, x, y, tw, th) of files (path, content).
+    """Pixels (path, tile_no, x, y, tw, th, rgb, error) of tiles (path, tile_no, x, y, tw, th) of files (path, content).
 
-    An image is decoded once for all of its tiles, which leave one by one; a tile that the image does not hold, and images
-    that cannot be read, are left out. One rectangle per image is a region read.
+    An image is decoded once for all of its tiles, which leave one by one; a tile that the image does not hold, and files
+    that do not begin like an image, are left out. Tiles of an image that cannot be decoded, as its format has no decoder or its
+    data are broken, have an error and no pixels. One rectangle per image is a region read.
     """
     lists = tiles.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("tile_no", "x", "y", "tw", "th"))).alias("tiles"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["path", "tile_no", "x", "y", "tw", "th", "rgb"]
+        columns = ["path", "tile_no", "x", "y", "tw", "th", "rgb", "error"]
         for batch in batches:
             for path, content, wanted in zip(batch["path"], batch["content"], batch["tiles"], strict=True):
-                found = header(bytes(content[:1 << 18]))
+                kind = _format(bytes(content[:1 << 18]))
+                if not kind:
+                    continue
+                pixels, error = None, ""
                 try:
-                    pixels = codecs.DECODERS[found[2]](bytes(content)) if found else None
-                except (KeyError, ValueError):
-                    pixels = None
-                for t in wanted if pixels is not None else ():
+                    decode = codecs.DECODERS.get(kind)
+                    if decode is None:
+                        raise ValueError(f"no decoder for {kind}")
+                    pixels = decode(bytes(content))
+                except ValueError as problem:
+                    error = str(problem)[:200] or "not decoded"
+                for t in wanted:
+                    place = (path, t["tile_no"], t["x"], t["y"], t["tw"], t["th"])
+                    if error:
+                        yield pd.DataFrame([(*place, None, error)], columns=columns)
+                        continue
                     cut = pixels[t["y"] : t["y"] + t["th"], t["x"] : t["x"] + t["tw"]]
                     if cut.shape[:2] == (t["th"], t["tw"]):
-                        yield pd.DataFrame([(path, t["tile_no"], t["x"], t["y"], t["tw"], t["th"], cut.tobytes())], columns=columns)
+                        yield pd.DataFrame([(*place, cut.tobytes(), "")], columns=columns)
 
     joined = files.select("path", "content").join(lists, "path")
-    return joined.mapInPandas(run, "path string, tile_no int, x int, y int, tw int, th int, rgb binary")
+    return joined.mapInPandas(run, "path string, tile_no int, x int, y int, tw int, th int, rgb binary, error string")

@@ -165,6 +165,56 @@ def test_decoding_and_tiles(spark):
         assert bytes(r.rgb) == p[r.y : r.y + r.th, r.x : r.x + r.tw, :3].tobytes()
 
 
+def sampled_jpeg(values):
+    """A 4:2:0 JPEG of two units side by side with a restart between; values: four DC for luminance, two for colour, a unit."""
+    segment = lambda mark, body: struct.pack(">BBH", 255, mark, len(body) + 2) + body
+    dc, ac = codecs.huffman_codes(codecs.DC_LUMINANCE), codecs.huffman_codes(codecs.AC_LUMINANCE)
+    out = b"\xff\xd8" + segment(0xDB, b"\0" + b"\x08" * 64) + segment(0xDD, b"\0\1")
+    out += segment(0xC0, struct.pack(">BHHB", 8, 15, 30, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    out += segment(0xC4, b"".join(bytes([k, *t[0]]) + t[1] for k, t in ((0, codecs.DC_LUMINANCE), (16, codecs.AC_LUMINANCE))))
+    out += segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0]))
+    for n, unit in enumerate(values):
+        bits, last = codecs.Bits(), {}
+        for k, v in zip((0, 0, 0, 0, 1, 2), unit, strict=True):
+            gap = v - last.get(k, 0)
+            last[k] = v
+            bits.put(*dc[abs(gap).bit_length()])
+            bits.put(gap if gap >= 0 else gap + (1 << abs(gap).bit_length()) - 1, abs(gap).bit_length())
+            bits.put(*ac[0])
+        out += bits.finish() + (b"\xff\xd0" if n == 0 else b"\xff\xd9")
+    return out
+
+
+def test_jpeg_is_decoded():
+    for p in (quadrants(40, 24), gradient(61, 45), np.full((3, 5, 3), 7, np.uint8)):
+        data = codecs.jpeg(rows(p), p.shape[1], p.shape[0], 90)
+        gap = np.abs(codecs.decode_jpeg(data).astype(int) - read_jpeg(data))
+        assert gap.mean() <= 0.7 and gap.max() <= 5  # samples are whole and held to 0 .. 255 before colours are mixed
+        with pytest.raises(ValueError):
+            codecs.decode_jpeg(data[: len(data) // 2])
+    # a DC of 1 is 1 step of grey here
+    got = codecs.decode_jpeg(sampled_jpeg([(10, -20, 30, 0, 0, 0), (-5, 5, 60, -60, 20, -10)])).astype(int)
+    assert got.shape == (15, 30, 3)
+    assert (got[:8, :8] == 138).all() and (got[:8, 8:16] == 108).all() and (got[8:, :8] == 158).all() and (got[8:, 8:16] == 128).all()
+    for y, part in ((-5, got[:8, 16:24]), (5, got[:8, 24:]), (60, got[8:, 16:24]), (-60, got[8:, 24:])):
+        want = 128 + y + np.array([-14.02, -6.88688 + 7.14136, 35.44])
+        assert np.abs(part - want).max() <= 0.51
+
+
+def test_formats_without_decoder_give_errors(spark):
+    p = gradient(20, 12)
+    contents = {"j": codecs.jpeg(rows(p), 20, 12, 90), "g": b"GIF89a" + bytes(20), "h": b"\0\0\0\x18ftypheic" + bytes(20), "cut": codecs.png(rows(p), 20, 12)[:60]}
+    files = spark.createDataFrame(list(contents.items()), "path string, content binary")
+    tiles = spark.createDataFrame([(k, n, 4 * n, 0, 4, 4) for k in contents for n in (0, 1)], "path string, tile_no int, x int, y int, tw int, th int")
+    got = {(r.path, r.tile_no): r for r in images.decoded_tiles(files, tiles).collect()}
+    assert set(got) == {(k, n) for k in contents for n in (0, 1)}
+    want = codecs.decode_jpeg(contents["j"])
+    for (k, n), r in got.items():
+        assert bool(r.error) == (k != "j") and (r.rgb is None) == (k != "j")
+        assert k != "j" or bytes(r.rgb) == want[:4, 4 * n : 4 * n + 4].tobytes()
+    assert got["g", 0].error == "no decoder for image/gif" and got["h", 1].error == "no decoder for image/heif"
+
+
 def test_published_whole(spark, tmp_path):
     path = str(tmp_path / "out")
     images.publish(spark.range(5), path)
