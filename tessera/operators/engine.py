@@ -7,6 +7,7 @@ deterministic stand-in; an engine backed by a model runtime registers the same w
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 from typing import Protocol
 
 import numpy as np
@@ -97,11 +98,11 @@ def watched(df: DataFrame, total: str = "tiles") -> tuple[DataFrame, Observation
     return df.observe(seen, F.count("*").alias("done")), seen
 
 
-def upscaled_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def upscaled_images(spark: SparkSession, sf_dir: str, ids: str = "id % 40 = 0") -> DataFrame:
     """Small images in overlapping tiles through the stand-in engine, tiles painted in order: sum and number of output pixels.
 
     A pixel's value is arithmetic on its place, made where the tile is cut."""
-    j = jobs(spark, sf_dir).where("id % 40 = 0").select("id", (F.col("w") % 29 + 20).cast("int").alias("w"), (F.col("h") % 23 + 20).cast("int").alias("h"), F.lit(2).alias("base"), (F.col("id") % 2 + 1).cast("int").alias("chain"))
+    j = jobs(spark, sf_dir).where(ids).select("id", (F.col("w") % 29 + 20).cast("int").alias("w"), (F.col("h") % 23 + 20).cast("int").alias("h"), F.lit(2).alias("base"), (F.col("id") % 2 + 1).cast("int").alias("chain"))
     at = lambda v, n: F.greatest(F.lit(0), F.least(F.col(n) - 1, v))
     tiles = overlapping(j, 24, 8).join(j, "id")
     ys = F.transform(F.sequence(F.lit(-PAD), F.col("th") + PAD - 1), lambda i: at(F.col("y") + i, "h"))
@@ -114,7 +115,8 @@ def upscaled_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return painted.groupBy("id").agg(F.count("*").alias("pixels"), F.sum("v").alias("total"))
 
 
-QUERIES = {"upscaled_images": upscaled_images}
+# the given SQL takes some ids only; the whole table has a query of its own
+QUERIES = {"upscaled_images": upscaled_images, "upscaled_images_whole": partial(upscaled_images, ids="true")}
 ORACLE_SQL = {
     "upscaled_images": f"""WITH {JOBS}, j AS (SELECT id, w % 29 + 20 AS w, h % 23 + 20 AS h, CASE WHEN id % 2 = 0 THEN 2 ELSE 4 END AS f FROM jobs WHERE id % 40 = 0)
 SELECT id, count(*) AS pixels, sum((ox // f * 7 + oy // f * 13) % 256)::BIGINT AS total FROM j, generate_series(0, w * f - 1) a(ox), generate_series(0, h * f - 1) b(oy) GROUP BY 1""",

@@ -6,7 +6,7 @@ tables that are merged with it. Sides are joined as equi joins and left to the p
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,9 +116,9 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(P.is_image(c("file"))).limit(50_000)
 
 
-def settings_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def settings_decoded(spark: SparkSession, sf_dir: str, ids: str = "event_id % 10 = 0") -> DataFrame:
     """JSON settings with defaults for what is missing or corrupt; unknown fields are ignored."""
-    e = table(spark, sf_dir, "events").where("event_id % 10 = 0")
+    e = table(spark, sf_dir, "events").where(ids)
     text = F.when(c("event_id") % 30 == 0, F.lit("{broken")).when(c("event_id") % 40 == 0, F.lit("")).otherwise(c("props"))
     s = F.from_json(text, "k int, workers int")
     return e.select("event_id", F.coalesce(s["k"], F.lit(-1)).alias("k"), F.coalesce(s["workers"], F.lit(2)).alias("workers"))
@@ -135,6 +135,8 @@ QUERIES = {
     "file_pairs": file_pairs, "profile_search": profile_search, "configured": configured, "field_update": field_update, "guarded_delete": guarded_delete,
     "params_reset": params_reset, "distinct_first": distinct_first, "image_files": image_files, "settings_decoded": settings_decoded, "model_imports": model_imports,
 }
+# the given SQL takes some ids only; the whole table has a query of its own
+QUERIES["settings_decoded_whole"] = partial(settings_decoded, ids="true")
 
 _PROFILES = "p AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_size % 2 = 0 THEN 'builtin' ELSE 'user' END AS source FROM part WHERE p_partkey % 4 <> 1)"
 _SEEDS = "s AS (SELECT p_partkey AS id, 'seed ' || p_type AS seed FROM part WHERE p_partkey % 3 = 0)"

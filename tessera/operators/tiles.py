@@ -6,6 +6,8 @@ Tiles are made by exploding two sequences per image, so every tile is a row of i
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,32 +62,32 @@ def job_tile_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(name.alias("engine"), "path").agg(F.count("*").alias("jobs"), F.sum("tiles").alias("tiles"), F.sum(c("tiles") * c("chain")).cast("long").alias("inferences"))
 
 
-def _small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A few pixels per image: 3..9 wide and high, every 20th job."""
-    return jobs(spark, sf_dir).where("id % 20 = 0").select("id", (c("w") % 7 + 3).alias("w"), (c("h") % 7 + 3).alias("h"))
+def _small(spark: SparkSession, sf_dir: str, ids: str) -> DataFrame:
+    """A few pixels per image: 3..9 wide and high."""
+    return jobs(spark, sf_dir).where(ids).select("id", (c("w") % 7 + 3).alias("w"), (c("h") % 7 + 3).alias("h"))
 
 
-def _tile_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = overlapping(_small(spark, sf_dir), 4, 2)
+def _tile_pixels(spark: SparkSession, sf_dir: str, ids: str) -> DataFrame:
+    t = overlapping(_small(spark, sf_dir, ids), 4, 2)
     p = t.select("*", F.explode(F.sequence(F.lit(0), c("th") - 1)).alias("dy")).select("*", F.explode(F.sequence(F.lit(0), c("tw") - 1)).alias("dx"))
     return p.select("id", "tile_no", (c("x") + c("dx")).alias("px"), (c("y") + c("dy")).alias("py"), ((c("tile_no") * 37 + c("dx") * 11 + c("dy") * 5) % 256).alias("v"))
 
 
-def tile_last_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tile_last_writer(spark: SparkSession, sf_dir: str, ids: str = "id % 20 = 0") -> DataFrame:
     """Tiles painted in order: per pixel the last one stays. The maximum by order is combined map-side."""
-    return _tile_pixels(spark, sf_dir).groupBy("id", "px", "py").agg(F.max_by("v", "tile_no").cast("int").alias("v"))
+    return _tile_pixels(spark, sf_dir, ids).groupBy("id", "px", "py").agg(F.max_by("v", "tile_no").cast("int").alias("v"))
 
 
-def tile_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tile_blend(spark: SparkSession, sf_dir: str, ids: str = "id % 20 = 0") -> DataFrame:
     """Overlapping tiles blended: sum and count per pixel, divided as integers."""
-    agg = _tile_pixels(spark, sf_dir).groupBy("id", "px", "py").agg(F.sum("v").alias("total"), F.count("*").alias("n"))
+    agg = _tile_pixels(spark, sf_dir, ids).groupBy("id", "px", "py").agg(F.sum("v").alias("total"), F.count("*").alias("n"))
     return agg.select("id", "px", "py", F.floor(c("total") / F.greatest(c("n"), F.lit(1))).cast("int").alias("v"), "n")
 
 
-def subcanvas_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def subcanvas_overlap(spark: SparkSession, sf_dir: str, ids: str = "id % 10 = 0") -> DataFrame:
     """4x4 sub-canvases and the grid tiles that overlap them. The range join is an equi join: a tile is listed under every
     sub-canvas its corners span, which integer division gives."""
-    j = jobs(spark, sf_dir).where("id % 10 = 0").select("id", "w", "h", F.ceil(c("w") / 4).cast("int").alias("sw"), F.ceil(c("h") / 4).cast("int").alias("sh"))
+    j = jobs(spark, sf_dir).where(ids).select("id", "w", "h", F.ceil(c("w") / 4).cast("int").alias("sw"), F.ceil(c("h") / 4).cast("int").alias("sh"))
     g = grid(j).join(j, "id")
     part = lambda a, b: F.least(F.lit(3), F.floor(a / b).cast("int"))
     g = g.select("*", F.explode(F.sequence(part(c("x"), c("sw")), part(c("x") + c("tw") - 1, c("sw")))).alias("sx"))
@@ -102,9 +104,9 @@ def region_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where(hit).select("id", "band", "col", (F.least(c("x") + c("tw"), F.lit(1100)) - F.greatest(c("x"), F.lit(300))).alias("cut_w"), (F.least(c("y") + c("th"), F.lit(900)) - F.greatest(c("y"), F.lit(200))).alias("cut_h"))
 
 
-def tile_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tile_windows(spark: SparkSession, sf_dir: str, ids: str = "id % 7 = 0") -> DataFrame:
     """Padded read windows clamped to the image, aligned sizes, and where the result is written at four times the size."""
-    g = grid(jobs(spark, sf_dir).where("id % 7 = 0"), 192).join(jobs(spark, sf_dir).select("id", "w", "h"), "id")
+    g = grid(jobs(spark, sf_dir).where(ids), 192).join(jobs(spark, sf_dir).select("id", "w", "h"), "id")
     left, top = F.greatest(F.lit(0), c("x") - 18), F.greatest(F.lit(0), c("y") - 18)
     right, bottom = F.least(c("w"), c("x") + c("tw") + 18), F.least(c("h"), c("y") + c("th") + 18)
     return g.select(
@@ -113,9 +115,9 @@ def tile_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def residual_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+def residual_add(spark: SparkSession, sf_dir: str, ids: str = "id % 20 = 0") -> DataFrame:
     """Each output pixel at twice the size gets the input pixel it came from."""
-    s = _small(spark, sf_dir).withColumn("row", F.sequence(F.lit(0), c("w") - 1))
+    s = _small(spark, sf_dir, ids).withColumn("row", F.sequence(F.lit(0), c("w") - 1))
     pixels = s.select("id", "w", "h", F.explode(F.sequence(F.lit(0), c("h") * 2 - 1)).alias("oy"), F.transform("row", lambda x: (x * 13 + 7) % 100).alias("line"))
     out = pixels.select("id", "oy", "line", F.explode(F.sequence(F.lit(0), c("w") * 2 - 1)).alias("ox"))
     return out.select("id", "ox", "oy", (F.get("line", F.floor(c("ox") / 2).cast("int")) + F.floor(c("oy") / 2).cast("int") + c("ox") % 3).cast("int").alias("v"))
@@ -129,9 +131,9 @@ def row_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.where("filled >= 90").select("y", "filled", "parts", "last_part")
 
 
-def stitched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stitched_rows(spark: SparkSession, sf_dir: str, ids: str = "id % 50 = 0") -> DataFrame:
     """One row per image row: its pieces by their offset, joined to a text of widths; a missing piece leaves its place empty."""
-    g = grid(jobs(spark, sf_dir).where("id % 50 = 0")).where("NOT (band = 1 AND col = 1)")
+    g = grid(jobs(spark, sf_dir).where(ids)).where("NOT (band = 1 AND col = 1)")
     bands = g.groupBy("id", "band").agg(F.array_sort(F.collect_list(F.struct("x", "tw"))).alias("p"), F.max("th").alias("rows"))
     text = F.array_join(F.transform("p", lambda s: F.concat_ws("+", s["x"].cast("string"), s["tw"].cast("string"))), ",")
     return bands.select("id", "band", "rows", text.alias("line"), F.aggregate("p", F.lit(0), lambda a, s: a + s["tw"]).alias("filled"))
@@ -142,6 +144,8 @@ QUERIES = {
     "subcanvas_overlap": subcanvas_overlap, "region_read": region_read, "tile_windows": tile_windows, "residual_add": residual_add,
     "row_assembly": row_assembly, "stitched_rows": stitched_rows,
 }
+# the given SQL of these takes some ids only; the whole table has a query of its own
+QUERIES |= {f"{f.__name__}_whole": partial(f, ids="true") for f in (tile_last_writer, tile_blend, subcanvas_overlap, tile_windows, residual_add, stitched_rows)}
 
 
 def _grid_sql(source: str, tile: int = TILE) -> str:
