@@ -4,7 +4,8 @@ A block meets a template if it holds at least THRESHOLD of the template's distin
 the templates are ordered by their document frequency in the corpus, rarest first. A block can only
 meet a template if it holds one of the template's first |T| - need + 1 words (prefix filter), has
 need template words at all (length filter) and has need of them from the first common one on
-(positional filter). The templates are a short fixed list, so their side of the join is a literal:
+(positional filter). Lines are the blocks of the given SQL; on demand the windows of words that lie over line
+ends are blocks too, for a license text is often wrapped. The templates are a short fixed list, so their side of the join is a literal:
 no row leaves its task.
 """
 
@@ -88,6 +89,27 @@ def matches(low: Column, order: list[str], templates=TEMPLATES, threshold: tuple
     return F.filter(F.flatten(F.transform(blocks, of_block)), lambda m: m["met"])
 
 
+def wrapped_matches(w: Column, templates=TEMPLATES, threshold: tuple[int, int] = THRESHOLD) -> Column:
+    """array<struct<label, block, containment, met>> over windows of the text's words, whatever its line ends; block is null.
+
+    A template's windows are twice its length and start a length apart, so as many words in a row as it has lie whole in
+    one of them. Per template the best window is given.
+    """
+
+    def best(label: str, text: str) -> Column:
+        length, distinct = len(text.split()), sorted(set(text.split()))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(length))
+        common = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(w, i, 2 * length), _strings(distinct)))))
+
+        def result(n: Column) -> Column:
+            met = n >= need(len(distinct), threshold)
+            return F.struct(F.lit(label).alias("label"), F.lit(None).cast("int").alias("block"), (n / len(distinct)).alias("containment"), met.alias("met"))
+
+        return let(common, result)
+
+    return F.filter(F.array(*[best(label, text) for label, text in templates]), lambda m: m["met"])
+
+
 def phrase_places(words: Column) -> tuple[Column, Column, Column, Column]:
     """Count, first and last start, and labels of the phrases, for an array of words."""
     line = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
@@ -106,12 +128,12 @@ def phrase_places(words: Column) -> tuple[Column, Column, Column, Column]:
     return total, F.least(*firsts), F.greatest(*lasts), F.array_compact(F.array(*labels))
 
 
-def scan(docs: DataFrame, order: list[str] | None = None, templates=TEMPLATES, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, order: list[str] | None = None, templates=TEMPLATES, threshold: tuple[int, int] = THRESHOLD, wrapped: bool = False) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, found per row of ``docs``.
 
     ``found`` has the label, line number and containment of every block that meets a template. Null and empty texts
     have no words, labels "" and score 0. ``score`` is the highest containment found, 1 where a phrase stands even
-    across lines. Equal rows are kept. One pass for the word order, one for the scan; nothing but the counts of the
+    across lines. ``wrapped`` adds the templates met over line ends, with a null for the line. Equal rows are kept. One pass for the word order, one for the scan; nothing but the counts of the
     templates' words is shuffled.
     """
     order = order or word_order(docs, templates)
@@ -126,9 +148,10 @@ def scan(docs: DataFrame, order: list[str] | None = None, templates=TEMPLATES, t
     def of(low: Column, w: Column) -> Column:
         count, first, last, base = phrase_places(w)
         hit = F.arrays_overlap(w, shelf)
+        by_line = matches(low, order, templates, threshold)
         made = F.struct(
             count.cast("long").alias("n_base"), first.cast("long").alias("first_word"), last.cast("long").alias("last_word"),
-            base.alias("base"), matches(low, order, templates, threshold).alias("found"),
+            base.alias("base"), (F.concat(by_line, wrapped_matches(w, templates, threshold)) if wrapped else by_line).alias("found"),
         )
         return F.struct(F.size(w).cast("long").alias("n_words"), F.when(hit, made).alias("m"))
 

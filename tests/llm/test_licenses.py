@@ -36,3 +36,15 @@ def test_places_and_empty(spark):
     assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.score) == (8, 2, 1, 5, "cc-by-nc,mit", 1.0)
     assert {m.label for m in r.found} == {"mit", "cc-by-nc"}
     assert licenses.scan(df.limit(0)).collect() == []
+
+
+def test_wrapped_templates(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    filler = "word " * 300
+    texts = [mit, f"{filler}\n{bsd} {filler}", f"{filler}{mit} {bsd}", "all of us\nreserved seats " + filler + "rights", None, "All rights\nreserved"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    assert lines == dict.fromkeys(range(6), "")  # by lines, as the given SQL has it
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(df, wrapped=True).collect()}
+    assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("bsd,mit", 1.0), 3: ("", 0.0), 4: ("", 0.0), 5: ("all-rights-reserved", 1.0)}
