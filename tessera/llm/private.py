@@ -26,7 +26,9 @@ LABELS = ("other", *KINDS)
 SURE = 0.6
 #: Candidates at most so many characters apart are neighbours of the chain.
 NEAR = 80
-ROUNDS, DAMPING = 12, 0.5
+#: Messages run until none changes by more; a damped one takes about two rounds an edge, so loops that never settle end
+#: only after ROUNDS rounds and four for every node.
+SETTLED, ROUNDS, DAMPING = 1e-6, 60, 0.5
 #: Generated training sequences, steps and rate.
 SEQUENCES, STEPS, RATE, DECAY = 300, 400, 0.5, 1e-3
 
@@ -160,7 +162,7 @@ class Field:
         return out
 
     def marginals(self, theta: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """Loopy sum-product message passing with damping, in logarithms; exact where there are no loops."""
+        """Loopy sum-product message passing with damping, in logarithms, until it settles; exact where there are no loops."""
         n, size = len(theta), len(LABELS)
         source = np.concatenate([chain[:, 0], chain[:, 1], skip[:, 0], skip[:, 1]])
         target = np.concatenate([chain[:, 1], chain[:, 0], skip[:, 1], skip[:, 0]])
@@ -169,13 +171,16 @@ class Field:
         pair = np.concatenate([np.repeat(self.chain[None], half, 0), np.repeat(self.chain.T[None], half, 0), np.repeat(self.skip[None], 2 * more, 0)]) if len(source) else np.zeros((0, size, size))
         message = np.zeros((len(source), size))
         belief = theta.copy()
-        for _ in range(ROUNDS if len(source) else 0):
+        for _ in range(ROUNDS + 4 * n if len(source) else 0):
             out = belief[source] - message[back]
             new = np.logaddexp.reduce(out[:, :, None] + pair, axis=1)
             new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
+            change = np.abs(new - message).max()
             message = DAMPING * message + (1 - DAMPING) * new
             belief = theta.copy()
             np.add.at(belief, target, message)
+            if change <= SETTLED:
+                break
         belief -= belief.max(axis=1, keepdims=True)
         p = np.exp(belief)
         return p / p.sum(axis=1, keepdims=True)

@@ -54,6 +54,25 @@ def test_messages_are_exact_on_trees():
     assert np.allclose(got, want / want.sum(axis=1, keepdims=True), atol=1e-2)
 
 
+def test_evidence_reaches_the_whole_document():
+    n, size = 60, 5
+    field = private.Field(np.zeros((4, len(private.FEATURES))), np.zeros((size, size)), np.diag([0, 9.0, 9, 9, 9]))
+    theta = np.full((n, size), -np.inf)
+    theta[:, [0, 4]] = 0
+    theta[:, 4] = -8.9
+    theta[0, 4] = 40
+    skip = np.array([(i, i + 1) for i in range(n - 1)])
+    # the exact marginals, forward and backward
+    forward, backward = theta.copy(), theta.copy()
+    for i in range(1, n):
+        forward[i] += np.logaddexp.reduce(forward[i - 1][:, None] + field.skip, axis=0)
+        backward[n - 1 - i] += np.logaddexp.reduce(backward[n - i][None] + field.skip, axis=1)
+    both = forward + np.where(np.isinf(theta), 0, backward) - np.where(np.isinf(theta), 0, theta)
+    want = np.exp(both - both.max(axis=1, keepdims=True))
+    got = field.marginals(theta, np.zeros((0, 2), np.int64), skip)
+    assert np.allclose(got, want / want.sum(axis=1, keepdims=True), atol=1e-4)
+
+
 def test_held_out_accuracy_and_consistency():
     field = private.trained()
     hit = miss = wrong = 0
