@@ -60,15 +60,17 @@ def select_path(base: Column, target: Column, allow: Column) -> Column:
 
 
 def chain_count(base: Column, target: Column) -> Column:
-    """Inferences in a row: the power of base in target, at least 1. A base of 1 would never end and counts once."""
-    start = F.struct(target.cast("int").alias("left"), F.lit(0).alias("n"))
+    """Inferences in a row: 1, and one more for every exact division of what is left while that exceeds base.
+
+    A target below base counts once. A base of 1 would never end and counts once, too.
+    """
     folded = F.aggregate(
         F.sequence(F.lit(1), F.lit(31)),
-        start,
-        lambda a, _: F.when((a["left"] >= base) & (a["left"] % base == 0), F.struct((a["left"] / base).cast("int").alias("left"), (a["n"] + 1).alias("n"))).otherwise(a),
+        F.struct(target.cast("int").alias("left"), F.lit(1).alias("n")),
+        lambda a, _: F.when((a["left"] > base) & (a["left"] % base == 0), F.struct((a["left"] / base).cast("int").alias("left"), (a["n"] + 1).alias("n"))).otherwise(a),
         lambda a: a["n"],
     )
-    return F.when(base > 1, F.greatest(F.lit(1), folded)).otherwise(1)
+    return F.when(base > 1, folded).otherwise(1)
 
 
 def factor(base: Column, target: Column, allow: Column) -> Column:
@@ -164,6 +166,15 @@ def probe_max_edge(scale: Column, mb: Column) -> Column:
     return F.when((scale >= 4) & (mb > 50), 192).when((scale >= 4) & (mb > 20), 256).when(scale >= 4, 512).when((scale >= 2) & (mb > 10), 512).otherwise(1024)
 
 
+def probe_max_pixels(scale: Column, mb: Column) -> Column:
+    edge = probe_max_edge(scale, mb).cast("long")
+    return edge * edge
+
+
+def probe_note(scale: Column, mb: Column) -> Column:
+    return F.concat(F.lit("Auto-Probe · "), scale.cast("string"), F.lit("x · "), mb.cast("string"), F.lit("MB"))
+
+
 def format_size(size: Column) -> Column:
     mb = F.floor((size + 524288) / 1048576).cast("string")
     kb = F.floor((size + 512) / 1024).cast("string")

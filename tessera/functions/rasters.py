@@ -19,6 +19,11 @@ CHROMINANCE = (
 )
 
 
+# Least mean |output| of networks that give whole images, for grey input 0.5 and 127.5.
+HALF_LIMIT = 0.05
+WIDE_LIMIT = 1.0
+
+
 def zigzag() -> list[int]:
     """Places of an 8x8 block in zigzag order, by its rule: diagonals in turn, alternately upwards and downwards."""
     cells = [(y, x) for y in range(8) for x in range(8)]
@@ -48,8 +53,38 @@ def grey(r: Column, g: Column, b: Column) -> Column:
     return F.floor((r + g + b) / 3).cast("int")
 
 
-def normalised(v: Column, mean: float, std: float) -> Column:
-    return (v / F.lit(255.0) - F.lit(mean)) / F.lit(std)
+def normalised(v: Column, mean: float, std: float, wide: bool = False) -> Column:
+    """Network input of a sample: as it is where the network works on 0..255 (``wide``), else scaled, shifted and divided."""
+    return v * F.lit(1.0) if wide else (v / F.lit(255.0) - F.lit(mean)) / F.lit(std)
+
+
+def denormalised(v: Column, mean: float, std: float, source: Column | None = None, wide: bool = False) -> Column:
+    """0..1 of a network's output: on top of its input (``source``, a residual network), divided by 255 (``wide``), or by mean and std."""
+    if source is not None:
+        return source + v
+    return v / F.lit(255.0) if wide else v * F.lit(std) + F.lit(mean)
+
+
+def domain_probe(half: Column, wide: Column, low: float = HALF_LIMIT, high: float = WIDE_LIMIT) -> Column:
+    """What a network gives, by the mean of |output| for grey input 0.5 and for 127.5: whole images of 0..1, of 0..255, or residuals."""
+    return F.when(half >= low, "full 0..1").when(wide >= high, "full 0..255").otherwise("residual")
+
+
+def tile_padding(scale: Column, probed: Column, requested: Column) -> Column:
+    """Border of a tile: the most of the usual one for the scale, the probed and the requested one, and 3."""
+    usual = F.when(scale == 3, 14).when(scale == 4, 19).otherwise(18)
+    return F.greatest(usual, F.coalesce(probed, F.lit(0)), F.coalesce(requested, F.lit(0)), F.lit(3)).cast("int")
+
+
+def interleaved(last: Column) -> Column:
+    """Whether a tensor's shape is (height, width, channels): its last dimension is 3."""
+    return last == 3
+
+
+def flattened(nested: Column, size: Column) -> Column:
+    """A nested array as one; an error where its size is not the expected one."""
+    flat = F.flatten(nested)
+    return F.when(F.size(flat) == size, flat).otherwise(F.raise_error(F.concat(F.lit("tensor of "), F.size(flat).cast("string"), F.lit(" values where "), size.cast("string"), F.lit(" were due"))))
 
 
 def to_byte(v: Column, rounded: bool = False) -> Column:

@@ -6,7 +6,7 @@ tables that are merged with it. Sides are joined as equi joins and left to the p
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,18 +116,34 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(P.is_image(c("file"))).limit(50_000)
 
 
-def settings_decoded(spark: SparkSession, sf_dir: str, ids: str = "event_id % 10 = 0") -> DataFrame:
+def settings_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON settings with defaults for what is missing or corrupt; unknown fields are ignored."""
-    e = table(spark, sf_dir, "events").where(ids)
+    e = table(spark, sf_dir, "events")
     text = F.when(c("event_id") % 30 == 0, F.lit("{broken")).when(c("event_id") % 40 == 0, F.lit("")).otherwise(c("props"))
     s = F.from_json(text, "k int, workers int")
     return e.select("event_id", F.coalesce(s["k"], F.lit(-1)).alias("k"), F.coalesce(s["workers"], F.lit(2)).alias("workers"))
 
 
 def model_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imported models as registry rows: route, scale and domain read off the name, the note with the file's size."""
-    s = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("id"), F.concat(F.lower(F.regexp_replace("s_name", "#", "-x")), F.when(c("s_suppkey") % 2 == 0, ".onnx").otherwise(".param")).alias("file"), (F.floor(F.abs("s_acctbal")) * 10000).cast("long").alias("size"))
-    return s.select("id", "file", P.model_route(c("file")).alias("route"), P.probe_scale(c("file")).cast("int").alias("scale"), F.concat(F.lit("imported, "), P.format_size(c("size"))).alias("note"))
+    """Imported model files as rows of the registry: kind by suffix, scale, domain and limits read off the name, and a note with the size.
+
+    A graph needs the weights of its stem (customer's keys stand for them); without them, and for other suffixes, the import
+    fails with an error and leaves the registry as it is."""
+    marks, suffixes = ("_x2", "-4x", "_8x", "-x3", ""), (".onnx", ".param", ".PARAM", ".txt")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    k = c("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(k.alias("id"), F.concat(F.lit("model"), k.cast("string"), pick(marks, k)).alias("stem"), pick(suffixes, k).alias("suffix"), (F.floor(F.abs("s_acctbal")) * 10000).cast("long").alias("size"))
+    w = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 1").select(F.concat(F.lit("model"), c("c_custkey").cast("string"), pick(marks, c("c_custkey"))).alias("stem"), F.floor(F.abs("c_acctbal")).cast("long").alias("weights"))
+    s = s.join(w, "stem", "left")
+    name, kind = F.concat("stem", "suffix"), F.lower("suffix")
+    size = c("size") + F.when(kind == ".param", F.coalesce("weights", F.lit(0))).otherwise(0)
+    mb = F.floor(c("size") / 1048576).cast("int")  # of the graph alone
+    scale = P.probe_scale(name)
+    error = F.when(~kind.isin(".onnx", ".param"), F.concat(F.lit("unknown format: "), name)).when((kind == ".param") & c("weights").isNull(), F.concat(F.lit("missing weights: "), "stem", F.lit(".bin"))).otherwise("")
+    return s.select(
+        "id", F.substring("stem", 1, 32).alias("display_name"), F.lit("user").alias("source"), F.concat(F.lit("models/user_"), c("id").cast("string"), F.when(kind == ".onnx", ".onnx").otherwise(F.concat(F.lit("/"), name))).alias("model_uri"),
+        scale.cast("int").alias("scale"), P.probe_domain(name).alias("domain"), P.probe_max_edge(scale, mb).cast("int").alias("max_edge"), F.concat(P.format_size(size), F.lit(" · "), P.probe_note(scale, mb)).alias("note"), error.alias("error"),
+    )
 
 
 QUERIES = {
@@ -135,8 +151,6 @@ QUERIES = {
     "file_pairs": file_pairs, "profile_search": profile_search, "configured": configured, "field_update": field_update, "guarded_delete": guarded_delete,
     "params_reset": params_reset, "distinct_first": distinct_first, "image_files": image_files, "settings_decoded": settings_decoded, "model_imports": model_imports,
 }
-# the given SQL takes some ids only; the whole table has a query of its own
-QUERIES["settings_decoded_whole"] = partial(settings_decoded, ids="true")
 
 _PROFILES = "p AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_size % 2 = 0 THEN 'builtin' ELSE 'user' END AS source FROM part WHERE p_partkey % 4 <> 1)"
 _SEEDS = "s AS (SELECT p_partkey AS id, 'seed ' || p_type AS seed FROM part WHERE p_partkey % 3 = 0)"
@@ -154,7 +168,13 @@ ORACLE_SQL = {
     "params_reset": "SELECT s_suppkey AS engine, name, value FROM supplier, LATERAL (VALUES ('tile', s_nationkey), ('pad', s_nationkey * 2)) v(name, value) WHERE s_suppkey <> 3",
     "distinct_first": "SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY 1, 2",
     "image_files": "WITH f AS (SELECT p_partkey, p_name || '.' || (['jpg', 'PNG', 'txt', 'heic', 'gz', 'TIFF', 'html'])[(p_partkey % 7 + 1)::INT] AS file FROM part) SELECT * FROM f WHERE lower(split_part(file, '.', -1)) IN ('jpg', 'png', 'heic', 'tiff')",
-    "settings_decoded": "SELECT event_id, (CASE WHEN event_id % 30 = 0 OR event_id % 40 = 0 THEN -1 ELSE regexp_extract(props, '\"k\": ([0-9]+)', 1)::INT END)::INT AS k, 2 AS workers FROM events WHERE event_id % 10 = 0",
-    "model_imports": """WITH s AS (SELECT s_suppkey AS id, lower(replace(s_name, '#', '-x')) || CASE WHEN s_suppkey % 2 = 0 THEN '.onnx' ELSE '.param' END AS file, floor(abs(s_acctbal))::BIGINT * 10000 AS size FROM supplier)
-SELECT id, file, CASE WHEN file LIKE '%.onnx' THEN 'onnx' ELSE 'native-file' END AS route, 4 AS scale, 'imported, ' || CASE WHEN size >= 1048576 THEN ((size + 524288) // 1048576) || 'MB' WHEN size >= 1024 THEN ((size + 512) // 1024) || 'KB' ELSE size || 'B' END AS note FROM s""",
+    "settings_decoded": "SELECT event_id, (CASE WHEN event_id % 30 = 0 OR event_id % 40 = 0 THEN -1 ELSE regexp_extract(props, '\"k\": ([0-9]+)', 1)::INT END)::INT AS k, 2 AS workers FROM events",
+    "model_imports": """WITH s AS (SELECT s_suppkey AS id, 'model' || s_suppkey || (['_x2', '-4x', '_8x', '-x3', ''])[(s_suppkey % 5 + 1)::INT] AS stem, (['.onnx', '.param', '.PARAM', '.txt'])[(s_suppkey % 4 + 1)::INT] AS suffix, floor(abs(s_acctbal))::BIGINT * 10000 AS size FROM supplier),
+w AS (SELECT c_custkey, floor(abs(c_acctbal))::BIGINT AS weights FROM customer WHERE c_custkey % 3 <> 1),
+j AS (SELECT s.*, weights, lower(suffix) AS kind, (CASE id % 5 WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 8 WHEN 3 THEN 3 ELSE 4 END) AS scale, size // 1048576 AS mb FROM s LEFT JOIN w ON c_custkey = id),
+n AS (SELECT *, CASE WHEN kind = '.param' THEN size + coalesce(weights, 0) ELSE size END AS bytes FROM j)
+SELECT id, stem AS display_name, 'user' AS source, 'models/user_' || id || CASE WHEN kind = '.onnx' THEN '.onnx' ELSE '/' || stem || suffix END AS model_uri, scale::INT AS scale, 'general' AS domain,
+  (CASE WHEN scale >= 4 THEN CASE WHEN mb > 50 THEN 192 WHEN mb > 20 THEN 256 ELSE 512 END WHEN mb > 10 THEN 512 ELSE 1024 END)::INT AS max_edge,
+  CASE WHEN bytes >= 1048576 THEN ((bytes + 524288) // 1048576) || 'MB' WHEN bytes >= 1024 THEN ((bytes + 512) // 1024) || 'KB' ELSE bytes || 'B' END || ' · Auto-Probe · ' || scale || 'x · ' || mb || 'MB' AS note,
+  CASE WHEN kind = '.txt' THEN 'unknown format: ' || stem || suffix WHEN kind = '.param' AND weights IS NULL THEN 'missing weights: ' || stem || '.bin' ELSE '' END AS error FROM n""",
 }

@@ -64,6 +64,7 @@ def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.lower("name").rlike("gfpgan|codeformer")
     return t.select(
         "id", scale.cast("int").alias("scale"), P.probe_domain(c("name")).alias("domain"), P.probe_max_edge(scale, c("mb")).cast("int").alias("max_edge"),
+        P.probe_max_pixels(scale, c("mb")).alias("max_pixels"), P.probe_note(scale, c("mb")).alias("probe_note"),
         F.when(half, 0.5).otherwise(0.0).alias("mean"), F.when(half, 0.5).otherwise(1.0).alias("std"), F.lower("name").contains("gfpgan").alias("fixed"),
         P.noise_file(c("name"), (c("id") % 6 - 1).cast("int")).alias("noise_file"), P.model_route(c("name")).alias("route"),
     )
@@ -101,7 +102,9 @@ QUERIES = {
 }
 
 _PATH = "CASE WHEN target = base THEN 'BASIC' WHEN target > base THEN 'CHAIN' WHEN allow THEN 'BASIC_DOWNSCALE' ELSE 'BASIC' END"
-_CHAIN = "CASE WHEN base = 1 THEN 1 ELSE greatest(1, " + " + ".join(f"CASE WHEN target % base ** {n} = 0 THEN 1 ELSE 0 END" for n in range(1, 6)) + ") END"
+# every chain of a base up to 4 and a target up to 16 that is longer than one, worked out by hand
+CHAINS = """CASE WHEN base = 2 AND target IN (4, 6, 10, 14) THEN 2 WHEN base = 2 AND target IN (8, 12) THEN 3 WHEN base = 2 AND target = 16 THEN 4
+  WHEN base = 3 AND target IN (6, 9, 12, 15) THEN 2 WHEN base = 4 AND target IN (8, 12, 16) THEN 2 ELSE 1 END"""
 _OUT = "w::BIGINT * target * h::BIGINT * target * 4"
 _BIG = 180 * 1024 * 1024
 _FORMAT = f"CASE WHEN {_OUT} > {_BIG} AND fmt NOT IN ('jxl', 'png', 'jpeg') THEN 'jpeg' ELSE fmt END"
@@ -109,7 +112,7 @@ _NAMES = "['up2x-no-denoise.param', 'realesrgan-x4plus.onnx', 'up3x-denoise3x.pa
 
 ORACLE_SQL = {
     "path_selection": f"""WITH {JOBS}, p AS (SELECT *, {_PATH} AS path FROM jobs)
-SELECT id, path, CASE WHEN base = 1 THEN target = 1 ELSE target IN (base, base ** 2, base ** 3, base ** 4) END AS is_power, ({_CHAIN})::INT AS chain,
+SELECT id, path, CASE WHEN base = 1 THEN target = 1 ELSE target IN (base, base ** 2, base ** 3, base ** 4) END AS is_power, ({CHAINS})::INT AS chain,
   CASE WHEN path = 'CHAIN' THEN target ELSE base END AS factor, w * target AS final_w, h * target AS final_h, (CASE WHEN path = 'CHAIN' THEN target ELSE base END) <> target AS resized FROM p""",
     "quality_maps": f"""WITH {JOBS}, p AS (SELECT *, greatest(1, least(100, q)) AS d FROM jobs)
 SELECT id, d AS direct, ((100 - d) * 9 // 99)::INT AS png, floor(18 + 33 * (100 - d) / 99.0::DOUBLE)::INT AS crf, floor(18 + 45 * (100 - d) / 99.0::DOUBLE)::INT AS cq,
@@ -126,6 +129,8 @@ SELECT id, budget, tile, (CASE WHEN pw::BIGINT * target * ph * target * 4 > {_BI
 s AS (SELECT *, CASE WHEN regexp_matches(name, 'x8|8x|8\\.0x') THEN 8 WHEN regexp_matches(name, 'x4|4x|4\\.0x') THEN 4 WHEN regexp_matches(name, 'x3|3x|3\\.0x') THEN 3 WHEN regexp_matches(name, 'x2|2x|2\\.0x') THEN 2 WHEN regexp_matches(name, 'x1|1x') THEN 1 ELSE 4 END AS scale FROM n)
 SELECT id, scale::INT AS scale, CASE WHEN regexp_matches(name, 'anime|waifu') THEN 'anime' WHEN regexp_matches(name, 'face|gfpgan|codeformer') THEN 'face' WHEN regexp_matches(name, 'ultrasharp|remacri|photo') THEN 'photo' ELSE 'general' END AS domain,
   (CASE WHEN scale >= 4 THEN CASE WHEN mb > 50 THEN 192 WHEN mb > 20 THEN 256 ELSE 512 END WHEN scale >= 2 AND mb > 10 THEN 512 ELSE 1024 END)::INT AS max_edge,
+  CASE WHEN scale < 2 OR (scale < 4 AND mb <= 10) THEN 1048576 WHEN scale < 4 OR mb <= 20 THEN 262144 WHEN mb <= 50 THEN 65536 ELSE 36864 END::BIGINT AS max_pixels,
+  'Auto-Probe · ' || scale || 'x · ' || mb || 'MB' AS probe_note,
   CASE WHEN name LIKE '%gfpgan%' THEN 0.5 ELSE 0.0 END::DOUBLE AS mean, CASE WHEN name LIKE '%gfpgan%' THEN 0.5 ELSE 1.0 END::DOUBLE AS std, name LIKE '%gfpgan%' AS fixed,
   CASE WHEN noise >= 0 THEN split_part(regexp_replace(name, '\\.param$', ''), '-', 1) || '-' || CASE noise WHEN 0 THEN 'conservative' WHEN 1 THEN 'denoise1x' WHEN 2 THEN 'denoise2x' WHEN 3 THEN 'denoise3x' ELSE 'no-denoise' END || '.param' ELSE name END AS noise_file,
   CASE WHEN name LIKE '%.param' THEN 'native-file' WHEN name LIKE '%.bin' THEN 'missing' WHEN name LIKE '%.onnx' THEN 'onnx' ELSE 'unknown' END AS route FROM s""",

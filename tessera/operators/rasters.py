@@ -34,47 +34,56 @@ def pixel_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tensor_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised input, and the output as bytes: truncated, rounded, and as a residual on top of the input."""
+    """Normalised input, and the output as bytes: truncated, rounded, as a residual on top of the input, and of a network on 0..255."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", c("x").cast("double"))
     v = F.floor(F.abs(c("x")) * 255)
     return e.select(
-        "vec_id", "i", F.round(R.normalised(v, 0.5, 0.25), 6).alias("input"), R.to_byte(c("x") * 2 + 0.5).alias("truncated"),
-        R.to_byte(c("x") * 2 + 0.5, rounded=True).alias("rounded"), R.to_byte(v / 255 + c("x")).alias("residual"),
+        "vec_id", "i", F.round(R.normalised(v, 0.5, 0.25), 6).alias("input"), R.normalised(v, 0.5, 0.25, wide=True).alias("wide_input"), R.to_byte(R.denormalised(c("x"), 0.5, 2.0)).alias("truncated"),
+        R.to_byte(R.denormalised(c("x"), 0.5, 2.0), rounded=True).alias("rounded"), R.to_byte(R.denormalised(c("x"), 0.0, 1.0, source=v / 255)).alias("residual"),
+        R.to_byte(R.denormalised(c("x") * 400, 0.0, 1.0, wide=True)).alias("wide"),
     )
 
 
 def tensor_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 4x4x4 tensor, planar to interleaved, with clamped neighbours and sizes brought to a multiple."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.posexplode("embedding").alias("i", "x"))
+    """A tensor of 16 x 4 or 21 x 3 (the rest cut), by whether its last dimension is the channel, as its planes; clamped neighbours,
+    sizes brought to a multiple, and the border of tiles."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(c("vec_id") % 2 == 0, 3).otherwise(4).alias("last"))
+    rows = F.floor(F.lit(64) / c("last")).cast("int")
+    nested = F.transform(F.sequence(F.lit(0), rows - 1), lambda k: F.slice("embedding", k * c("last") + 1, c("last")))
+    e = e.withColumn("flat", R.flattened(nested, rows * c("last"))).select("*", F.posexplode("flat").alias("i", "x"))
+    plane = F.when(R.interleaved(c("last")), (c("i") % 3) * 21 + F.floor(c("i") / 3)).otherwise(c("i"))
     ch, y, x = F.floor(c("i") / 16).cast("int"), F.floor(c("i") % 16 / 4).cast("int"), c("i") % 4
     right = ch * 16 + y * 4 + R.edge_clamped(x + 1, F.lit(4))
+    scale, probed, asked = c("vec_id") % 4 + 1, F.when(c("i") % 3 == 0, c("i")), c("i") % 17
     return e.select(
-        "vec_id", "i", (y * 16 + x * 4 + ch).cast("int").alias("interleaved"), F.get("embedding", right).cast("double").alias("right"),
-        R.aligned(c("i") + c("vec_id"), 4).alias("aligned4"), R.aligned(c("i") + c("vec_id"), 2).alias("aligned2"),
-        F.greatest(F.lit(18), c("i"), F.lit(3)).alias("padding"),
+        "vec_id", "i", plane.cast("int").alias("planar"), F.get("embedding", right).cast("double").alias("right"),
+        R.aligned(c("i") + c("vec_id"), 4).alias("aligned4"), R.aligned(c("i") + c("vec_id"), 2).alias("aligned2"), R.tile_padding(scale, probed, asked).alias("padding"),
     )
 
 
 def abs_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of |v * s + m| over a tensor, mean and largest |v| of its first three planes, and the domain they imply."""
+    """Mean of |v * s + m| over a tensor, mean and largest |v| of its first three planes, and the domain they imply.
+
+    The tensor is brought to a size by vec_id, as outputs of different kinds of networks would have."""
     e = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
-    size = lambda a: F.size(a)
-    mean = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, v: s + F.abs(f(v.cast("double")))) / size(a)
-    scaled, wide = mean(c("embedding"), lambda v: v * 0.5 + 0.02), mean(c("embedding"), lambda v: v * 8)
+    mean = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, v: s + F.abs(f(v.cast("double")))) / F.size(a)
+    size = F.element_at(F.array(F.lit(2.0), F.lit(0.01), F.lit(0.001)), (c("vec_id") % 3 + 1).cast("int"))
+    half, wide = mean(c("embedding"), lambda v: v * size * 0.5 + 0.001), mean(c("embedding"), lambda v: v * size * 1000)
     planes = F.slice("embedding", 1, 48)
-    kind = F.when(scaled >= 0.063, "full 0..1").when(wide >= 0.8, "full 0..255").otherwise("residual")
     return e.select(
-        "vec_id", F.round(scaled, 6).alias("mean_denorm"), F.round(mean(planes, lambda v: v), 6).alias("mean_abs"),
-        F.round(F.array_max(F.transform(planes, lambda v: F.abs(v.cast("double")))), 6).alias("max_abs"), kind.alias("domain"),
+        "vec_id", F.round(half, 6).alias("mean_denorm"), F.round(mean(planes, lambda v: v), 6).alias("mean_abs"),
+        F.round(F.array_max(F.transform(planes, lambda v: F.abs(v.cast("double")))), 6).alias("max_abs"), R.domain_probe(half, wide).alias("domain"),
     )
 
 
 def size_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scale and crop of a model from two probe runs; part's keys stand for the sizes that came out."""
-    p = table(spark, sf_dir, "part")
-    k = c("p_partkey")
-    runs = p.select(k.alias("id"), F.explode(F.array(F.lit(64), F.lit(96))).alias("t"))
-    true_scale, crop = (c("id") % 5), (c("id") % 4) * (c("id") % 5)
+    """Scale and crop of a model from two probe runs, by the rules of both runtimes; part's keys stand for the sizes that came out.
+
+    One works with whole crops only and without tiles where there are any. The other keeps every crop, as pixels of the input, and
+    half of it as a border."""
+    k = c("id")
+    runs = table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), F.explode(F.array(F.lit(64), F.lit(96))).alias("t"))
+    true_scale, crop = (k % 5), (k % 4) * (k % 5) + F.when(k % 7 == 0, 5).otherwise(0)
     runs = runs.withColumn("out", (c("t") * true_scale - crop).cast("int"))
     w = Window.partitionBy("id").orderBy("t")
     two = runs.select("id", "t", "out", F.lag("t").over(w).alias("t1"), F.lag("out").over(w).alias("o1")).where(c("t1").isNotNull())
@@ -83,7 +92,12 @@ def size_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     scale = F.when(c("valid"), c("est").cast("int")).otherwise(4)
     rest = F.greatest(F.lit(0), c("t1") * scale - c("o1"))
     crop = F.when(c("valid") & (rest % scale == 0), rest).otherwise(0).cast("int")
-    return two.select("id", F.round("est", 6).alias("estimate"), scale.cast("int").alias("scale"), crop.alias("k"), (~c("valid") | (crop > 0)).alias("whole_image"))
+    native = lambda v: F.when(c("valid"), F.greatest(F.lit(0), F.round(v).cast("int"))).otherwise(0)
+    lost = c("t1") * c("est") - c("o1")
+    return two.select(
+        "id", F.round("est", 6).alias("estimate"), scale.cast("int").alias("scale"), crop.alias("k"), (~c("valid") | (crop > 0)).alias("whole_image"),
+        native(lost).alias("native_k"), native(lost / c("est")).alias("native_crop"), F.floor(native(lost / c("est")) / 2).cast("int").alias("native_pad"),
+    )
 
 
 def ycbcr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,11 +129,23 @@ def block_dct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zig.select("vec_id", "k", c("s.z").alias("place"), F.round("s.v", 3).alias("coefficient"), R.half_up(F.round(c("s.v") / 16, 6)).cast("int").alias("quantised"))
 
 
+def differences(blocks: DataFrame, stretch: int = 1 << 16) -> DataFrame:
+    """(comp, number, diff): DC coefficients less the one before, 0 before the first, of blocks (comp, number, dc).
+
+    A component is as long as its image, so it is cut into stretches by number: blocks look back within their stretch, and the
+    first of each takes the last of the stretch before from a table with one row per stretch."""
+    cut = blocks.withColumn("part", F.floor(c("number") / stretch))
+    lasts = cut.groupBy("comp", "part").agg(F.max_by("dc", "number").alias("dc"))
+    lasts = lasts.select("comp", "part", F.lag("dc", 1, 0).over(Window.partitionBy("comp").orderBy("part")).alias("before"))
+    inner = F.lag("dc").over(Window.partitionBy("comp", "part").orderBy("number"))
+    return cut.withColumn("inner", inner).join(lasts, ["comp", "part"]).select("comp", "number", (c("dc") - F.coalesce("inner", "before")).alias("diff"))
+
+
 def dc_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DC differences over the blocks of a component (label), with their magnitude categories."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.floor(F.get("embedding", F.lit(0)).cast("double") * 100).cast("int").alias("dc"))
-    d = c("dc") - F.lag("dc", 1, 0).over(Window.partitionBy("label").orderBy("vec_id"))
-    return e.select("vec_id", d.alias("diff"), R.magnitude(d).cast("int").alias("bits"))
+    e = table(spark, sf_dir, "embeddings").select(c("vec_id").alias("number"), c("label").alias("comp"), F.floor(F.get("embedding", F.lit(0)).cast("double") * 100).cast("int").alias("dc"))
+    d = differences(e, 256)
+    return d.select(c("number").alias("vec_id"), "diff", R.magnitude(c("diff")).cast("int").alias("bits"))
 
 
 def ac_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,17 +178,19 @@ _CATEGORY = "CASE WHEN {v} = 0 THEN 0 ELSE length(ltrim(bin(abs({v})::BIGINT), '
 ORACLE_SQL = {
     "pixel_pack": f"WITH {_P}, s AS (SELECT *, a::BIGINT * 16777216 + b * 65536 + g * 256 + r AS s FROM x) SELECT l_orderkey, l_linenumber, a, r, g, b, ((r + g + b) // 3)::INT AS grey, (CASE WHEN s >= 2147483648 THEN s - 4294967296 ELSE s END)::INT AS swapped FROM s",
     "tensor_scaling": f"""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), v AS (SELECT *, floor(abs(x) * 255) AS v FROM e)
-SELECT vec_id, i::INT AS i, round((v / 255.0::DOUBLE - 0.5::DOUBLE) / 0.25::DOUBLE, 6) AS input, {_BYTE.format(v="x * 2 + 0.5::DOUBLE")} AS truncated,
-  greatest(0, least(255, round((x * 2 + 0.5::DOUBLE) * 255)))::INT AS rounded, {_BYTE.format(v="v / 255 + x")} AS residual FROM v""",
-    "tensor_layout": """WITH e AS (SELECT vec_id, embedding, (generate_subscripts(embedding, 1) - 1)::INT AS i FROM embeddings)
-SELECT vec_id, i, ((i % 16 // 4) * 16 + (i % 4) * 4 + i // 16)::INT AS interleaved, embedding[i // 4 * 4 + least(3, i % 4 + 1) + 1]::DOUBLE AS "right",
-  ((i + vec_id + 3) // 4 * 4)::INT AS aligned4, ((i + vec_id + 1) // 2 * 2)::INT AS aligned2, greatest(18, i, 3)::INT AS padding FROM e""",
-    "abs_statistics": """WITH e AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS e FROM embeddings), s AS (SELECT vec_id, list_avg([abs(x * 0.5::DOUBLE + 0.02::DOUBLE) for x in e]) AS d, list_avg([abs(x * 8) for x in e]) AS w, [abs(x) for x in e[1:48]] AS p FROM e)
-SELECT vec_id, round(d, 6) AS mean_denorm, round(list_avg(p), 6) AS mean_abs, round(list_max(p), 6) AS max_abs, CASE WHEN d >= 0.063 THEN 'full 0..1' WHEN w >= 0.8 THEN 'full 0..255' ELSE 'residual' END AS domain FROM s""",
-    "size_probe": """WITH o AS (SELECT p_partkey AS id, 64 * (p_partkey % 5) - (p_partkey % 4) * (p_partkey % 5) AS o1, 96 * (p_partkey % 5) - (p_partkey % 4) * (p_partkey % 5) AS o2 FROM part),
+SELECT vec_id, i::INT AS i, round((v / 255.0::DOUBLE - 0.5::DOUBLE) / 0.25::DOUBLE, 6) AS input, v::DOUBLE AS wide_input, {_BYTE.format(v="x * 2 + 0.5::DOUBLE")} AS truncated,
+  greatest(0, least(255, round((x * 2 + 0.5::DOUBLE) * 255)))::INT AS rounded, {_BYTE.format(v="v / 255 + x")} AS residual, {_BYTE.format(v="x * 400 / 255.0::DOUBLE")} AS wide FROM v""",
+    "tensor_layout": """WITH e AS (SELECT vec_id, embedding, unnest(range(CASE WHEN vec_id % 2 = 0 THEN 63 ELSE 64 END))::INT AS i FROM embeddings)
+SELECT vec_id, i, (CASE WHEN vec_id % 2 = 0 THEN i % 3 * 21 + i // 3 ELSE i END)::INT AS planar, embedding[i // 4 * 4 + least(3, i % 4 + 1) + 1]::DOUBLE AS "right",
+  ((i + vec_id + 3) // 4 * 4)::INT AS aligned4, ((i + vec_id + 1) // 2 * 2)::INT AS aligned2,
+  greatest(CASE vec_id % 4 WHEN 1 THEN 18 WHEN 2 THEN 14 WHEN 3 THEN 19 ELSE 18 END, CASE WHEN i % 3 = 0 THEN i ELSE 0 END, i % 17)::INT AS padding FROM e""",
+    "abs_statistics": """WITH e AS (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 0.01 ELSE 0.001 END::DOUBLE AS f, [x::DOUBLE for x in embedding] AS e FROM embeddings WHERE len(embedding) = 64),
+s AS (SELECT vec_id, list_avg([abs(x * f * 0.5::DOUBLE + 0.001::DOUBLE) for x in e]) AS d, list_avg([abs(x * f * 1000) for x in e]) AS w, [abs(x) for x in e[1:48]] AS p FROM e)
+SELECT vec_id, round(d, 6) AS mean_denorm, round(list_avg(p), 6) AS mean_abs, round(list_max(p), 6) AS max_abs, CASE WHEN d >= 0.05 THEN 'full 0..1' WHEN w >= 1 THEN 'full 0..255' ELSE 'residual' END AS domain FROM s""",
+    "size_probe": """WITH b AS (SELECT p_partkey AS id, (p_partkey % 4) * (p_partkey % 5) + CASE WHEN p_partkey % 7 = 0 THEN 5 ELSE 0 END AS crop FROM part), o AS (SELECT id, 64 * (id % 5) - crop AS o1, 96 * (id % 5) - crop AS o2 FROM b),
 e AS (SELECT *, (o2 - o1) / 32.0::DOUBLE AS est FROM o), s AS (SELECT *, est BETWEEN 1 AND 16 AS ok, (CASE WHEN est BETWEEN 1 AND 16 THEN trunc(est) ELSE 4 END)::INT AS scale FROM e),
-k AS (SELECT *, (CASE WHEN ok AND greatest(0, 64 * scale - o1) % scale = 0 THEN greatest(0, 64 * scale - o1) ELSE 0 END)::INT AS k FROM s)
-SELECT id, round(est, 6) AS estimate, scale, k, NOT ok OR k > 0 AS whole_image FROM k""",
+k AS (SELECT *, (CASE WHEN ok AND greatest(0, 64 * scale - o1) % scale = 0 THEN greatest(0, 64 * scale - o1) ELSE 0 END)::INT AS k, (CASE WHEN ok THEN greatest(0, round((64 * est - o1) / est)) ELSE 0 END)::INT AS nc FROM s)
+SELECT id, round(est, 6) AS estimate, scale, k, NOT ok OR k > 0 AS whole_image, (CASE WHEN ok THEN greatest(0, round(64 * est - o1)) ELSE 0 END)::INT AS native_k, nc AS native_crop, nc // 2 AS native_pad FROM k""",
     "ycbcr": f"""WITH {_P} SELECT l_orderkey, l_linenumber, round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b - 128, 4) AS y,
   round(-0.168736::DOUBLE * r - 0.331264::DOUBLE * g + 0.5::DOUBLE * b, 4) AS cb, round(0.5::DOUBLE * r - 0.418688::DOUBLE * g - 0.081312::DOUBLE * b, 4) AS cr FROM x""",
     "quant_tables": f"""WITH q AS (SELECT DISTINCT least(100, greatest(1, p_size * 2))::INT AS quality FROM part), s AS (SELECT quality, CASE WHEN quality < 50 THEN 5000 // quality ELSE 200 - 2 * quality END AS s FROM q)

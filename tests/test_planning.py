@@ -19,7 +19,10 @@ def test_paths_and_chains(spark):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(PATHS)], "i int, b int, t int, a boolean, want string")
     got = df.select("want", P.select_path(F.col("b"), F.col("t"), F.col("a")).alias("path")).collect()
     assert all(r.want == r.path for r in got)
-    chains = spark.createDataFrame([(2, 8, 3), (2, 6, 1), (4, 16, 2), (3, 4, 1), (4, 2, 1), (1, 5, 1), (2, 2, 1)], "b int, t int, want int")
+    chains = spark.createDataFrame([
+        (2, 4, 2), (2, 6, 2), (2, 8, 3), (2, 10, 2), (2, 12, 3), (2, 14, 2), (2, 16, 4), (3, 6, 2), (3, 9, 2), (3, 12, 2), (3, 15, 2), (3, 4, 1), (4, 8, 2), (4, 12, 2),
+        (4, 16, 2), (4, 6, 1), (4, 2, 1), (4, 4, 1), (1, 5, 1), (2, 2, 1), (2, 1, 1), (2, 7, 1),
+    ], "b int, t int, want int")
     assert all(r.want == r.n for r in chains.select("want", P.chain_count(F.col("b"), F.col("t")).alias("n")).collect())
 
 
