@@ -1,10 +1,10 @@
-"""Image encoders that work row by row: PNG (filter 0, 8-bit RGB) and baseline JPEG (4:4:4); decoders of PNG and baseline JPEG."""
+"""Image encoders that take rows and give bytes as they go: PNG (filter 0, 8-bit RGB) and baseline JPEG (4:4:4); decoders of PNG, baseline JPEG and BMP."""
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -45,19 +45,24 @@ def ordered_rows(rows: Iterable[tuple[int, bytes]], width: int, height: int) ->
         raise ValueError(f"{expected} rows of {height}")
 
 
-def png(rows: Iterable[tuple[int, bytes]], width: int, height: int, level: int = 6) -> bytes:
+def png_parts(rows: Iterable[tuple[int, bytes]], width: int, height: int, level: int = 6) -> Iterator[bytes]:
+    """A PNG in pieces: a chunk of image data whenever 64 KB of it are ready, so that no more than that is held."""
+
     def chunk(kind: bytes, body: bytes) -> bytes:
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
-    out = [b"\x89PNG\r\n\x1a\n", chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0))]
+    yield b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0))
     packer, held = zlib.compressobj(level), b""
     for row in ordered_rows(rows, width, height):
         held += packer.compress(b"\0" + row.tobytes())
         if len(held) >= 1 << 16:
-            out.append(chunk(b"IDAT", held))
+            yield chunk(b"IDAT", held)
             held = b""
-    out.append(chunk(b"IDAT", held + packer.flush()))
-    return b"".join([*out, chunk(b"IEND", b"")])
+    yield chunk(b"IDAT", held + packer.flush()) + chunk(b"IEND", b"")
+
+
+def png(rows: Iterable[tuple[int, bytes]], width: int, height: int, level: int = 6) -> bytes:
+    return b"".join(png_parts(rows, width, height, level))
 
 
 def huffman_codes(table: tuple[tuple[int, ...], bytes]) -> dict[int, tuple[int, int]]:
@@ -97,8 +102,8 @@ class Bits:
         return bytes(self.out)
 
 
-def jpeg(rows: Iterable[tuple[int, bytes]], width: int, height: int, quality: int = 95) -> bytes:
-    """Eight rows at a time; edges are repeated to full blocks."""
+def jpeg_parts(rows: Iterable[tuple[int, bytes]], width: int, height: int, quality: int = 95) -> Iterator[bytes]:
+    """A JPEG in pieces, eight rows at a time; edges are repeated to full blocks."""
     tables = [scaled(LUMINANCE, quality), scaled(CHROMINANCE, quality)]
     zig, dct = np.array(zigzag()), np.array(dct_matrix())
     codes = [(huffman_codes(DC_LUMINANCE), huffman_codes(AC_LUMINANCE)), (huffman_codes(DC_CHROMINANCE), huffman_codes(AC_CHROMINANCE))]
@@ -145,25 +150,41 @@ def jpeg(rows: Iterable[tuple[int, bytes]], width: int, height: int, quality: in
             for comp in range(3):
                 block(np.floor(n[comp] / tables[comp > 0] + 0.5).astype(int)[zig], comp)
 
+    yield head
     held: list[np.ndarray] = []
     for row in ordered_rows(rows, width, height):
         held.append(row)
         if len(held) == 8:
             band(held)
             held = []
+            yield bytes(bits.out)
+            bits.out.clear()
     if held:
         band(held)
-    return head + bits.finish() + b"\xff\xd9"
+    yield bits.finish() + b"\xff\xd9"
+
+
+def jpeg(rows: Iterable[tuple[int, bytes]], width: int, height: int, quality: int = 95) -> bytes:
+    return b"".join(jpeg_parts(rows, width, height, quality))
 
 
 #: Encoders that need nothing else. Others are added where their library is installed; a format without one becomes jpeg.
-ENCODERS: dict[str, Callable[..., bytes]] = {"png": png, "jpeg": jpeg}
+ENCODERS: dict[str, Callable[..., Iterator[bytes]]] = {"png": png_parts, "jpeg": jpeg_parts}
+
+
+def written_as(fmt: str) -> str:
+    return fmt if fmt in ENCODERS else "jpeg"
+
+
+def encoded_parts(fmt: str, rows: Iterable[tuple[int, bytes]], width: int, height: int, quality: int = 95) -> Iterator[bytes]:
+    """The file of ``written_as(fmt)`` in pieces."""
+    fmt = written_as(fmt)
+    return ENCODERS[fmt](rows, width, height, max(0, (100 - min(100, max(1, quality))) * 9 // 99) if fmt == "png" else quality)
 
 
 def encode(fmt: str, rows: Iterable[tuple[int, bytes]], width: int, height: int, quality: int = 95) -> tuple[str, bytes]:
     """(format written, bytes)."""
-    fmt = fmt if fmt in ENCODERS else "jpeg"
-    return fmt, ENCODERS[fmt](rows, width, height, max(0, (100 - min(100, max(1, quality))) * 9 // 99) if fmt == "png" else quality)
+    return written_as(fmt), b"".join(encoded_parts(fmt, rows, width, height, quality))
 
 
 def _unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
@@ -174,15 +195,15 @@ def _unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
         up = out[y - 1]
         if kind == 0:
             out[y, step:] = body
+        elif kind == 1:
+            out[y, step:] = (np.cumsum(body.reshape(-1, step), axis=0) & 255).ravel()
         elif kind == 2:
             out[y, step:] = body + up[step:] & 255
         else:
             row = out[y]
             for i, v in enumerate(body.tolist(), step):
                 a, b, c = int(row[i - step]), int(up[i]), int(up[i - step])
-                if kind == 1:
-                    guess = a
-                elif kind == 3:
+                if kind == 3:
                     guess = (a + b) // 2
                 else:
                     pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
@@ -215,6 +236,22 @@ def decode_png(data: bytes) -> np.ndarray:
     return pixels[:, :, :3] if channels >= 3 else pixels[:, :, :1].repeat(3, axis=2)
 
 
+def decode_bmp(data: bytes) -> np.ndarray:
+    """(h, w, 3) of an uncompressed BMP of 24 or 32 bits."""
+    try:
+        (start,) = struct.unpack_from("<I", data, 10)
+        w, h, _, depth, packing = struct.unpack_from("<iiHHI", data, 18)
+    except struct.error as problem:
+        raise ValueError(f"broken BMP: {problem}") from problem
+    if data[:2] != b"BM" or depth not in (24, 32) or packing not in (0, 3) or w <= 0 or not h:
+        raise ValueError("only uncompressed BMPs of 24 or 32 bits are read")
+    line = (w * depth // 8 + 3) // 4 * 4
+    if len(data) < start + line * abs(h):
+        raise ValueError("the BMP's data are cut")
+    rows = np.frombuffer(data, np.uint8, line * abs(h), start).reshape(abs(h), line)[:, : w * depth // 8].reshape(abs(h), w, depth // 8)
+    return (rows[::-1] if h > 0 else rows)[:, :, 2::-1]
+
+
 class _Scan:
     """Bits of one stretch of a JPEG scan, between restart markers."""
 
@@ -396,4 +433,4 @@ def _scanned(stretches, chosen, parts, codes, quant, restart, width, height) ->
 
 
 #: Decoders by MIME type; others are added where their library is installed.
-DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {"image/png": decode_png, "image/jpeg": decode_jpeg}
+DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {"image/png": decode_png, "image/jpeg": decode_jpeg, "image/bmp": decode_bmp}

@@ -7,16 +7,16 @@ deterministic stand-in; an engine backed by a model runtime registers the same w
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from tessera.operators.tiles import overlapping
+from tessera.operators.tiles import overlapping, owned
 from tessera.plans.standin import JOBS, jobs
 
 PAD = 18
@@ -69,27 +69,82 @@ def padded(pixels: np.ndarray, x: int, y: int, w: int, h: int, pad: int) -> np.n
     return pixels[np.ix_(rows, columns)]
 
 
-def upscaled(tiles: DataFrame, name: str = "nearest") -> DataFrame:
-    """Tiles (id, tile_no, x, y, tw, th, base, chain, pixels: the padded tile of PAD) through the engine, chained as often as
-    planned: id, tile_no, x, y, w, h, pixels. A tile that fails has an error and no pixels."""
+class Noisy:
+    """An engine per noise level: a change of level loads the model of the new one, the old one is dropped."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def __init__(self, load: Callable[[int], Engine]):
+        self.load, self.level, self.made = load, None, None
+
+    def at(self, level: int) -> Engine:
+        if self.made is None or level != self.level:
+            self.made, self.level = self.load(level), level
+        return self.made
+
+
+class Throttle:
+    """Passes progress on that is at least a hundredth above the last one passed on, or the end."""
+
+    def __init__(self, listen: Callable[[float], None]):
+        self.listen, self.sent = listen, -1.0
+
+    def __call__(self, share: float) -> None:
+        share = min(1.0, max(0.0, share))
+        if share - self.sent >= 0.01 or share >= 1.0:
+            self.sent = share
+            self.listen(share)
+
+
+def chained(made: Engine, pixels: np.ndarray, times: int, progress: Callable[[float], None] = lambda share: None) -> np.ndarray:
+    """An image through an engine so many times. An engine that fails is closed, if it can be, and the error goes on."""
+    tell = Throttle(progress)
+    tell(0.02)
+    try:
+        for n in range(times):
+            pixels = made.upscale(pixels)
+            tell((n + 1) / times)
+    except Exception:
+        getattr(made, "close", lambda: None)()
+        raise
+    return pixels
+
+
+def chain_length(base: int, target: int) -> int:
+    """As functions.planning.chain_count."""
+    n = 1
+    while base > 1 and target > base and target % base == 0:
+        target, n = target // base, n + 1
+    return n
+
+
+def pixels_of(row: dict) -> np.ndarray:
+    return np.array(row["pixels"], int).reshape(row["th"] + 2 * PAD, row["tw"] + 2 * PAD, 1)
+
+
+def upscaled(tiles: DataFrame, name: str = "nearest", read: Callable[[dict], np.ndarray] = pixels_of) -> DataFrame:
+    """Tiles (id, tile_no, x, y, tw, th, own_w, own_h, base, chain and what ``read`` needs) through the engine, chained as often as
+    planned: id, tile_no, x, y, w, h, pixels, total. ``read`` gives a tile with a border of PAD. A tile keeps what it owns (see
+    tiles.owned), so the results of an image do not overlap. A tile that fails has an error and no pixels."""
+    schema = pa.schema([("id", pa.int64()), *((n, pa.int32()) for n in ("tile_no", "x", "y", "w", "h")), ("pixels", pa.list_(pa.int32())), ("total", pa.int64()), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t in batch.itertuples():
+            for t in batch.to_pylist():
+                place = {"id": t["id"], "tile_no": t["tile_no"], "x": 0, "y": 0, "w": 0, "h": 0, "pixels": np.zeros(0, np.int32), "total": 0, "error": ""}
                 try:
-                    made = np.array(t.pixels, int).reshape(t.th + 2 * PAD, t.tw + 2 * PAD, 1)
-                    factor = 1
-                    for _ in range(t.chain):
-                        made = engine(name, t.base).upscale(made)
-                        factor *= t.base
-                    cut = made[PAD * factor : (PAD + t.th) * factor, PAD * factor : (PAD + t.tw) * factor]
-                    out.append((t.id, t.tile_no, t.x * factor, t.y * factor, t.tw * factor, t.th * factor, cut.ravel().tolist(), ""))
+                    factor = t["base"] ** t["chain"]
+                    made = chained(engine(name, t["base"]), read(t), t["chain"])
+                    w, h = t["own_w"] * factor, t["own_h"] * factor
+                    cut = made[PAD * factor : PAD * factor + h, PAD * factor : PAD * factor + w]
+                    if cut.shape[:2] != (h, w):
+                        raise ValueError("the engine's output is too small")
+                    place |= {"x": t["x"] * factor, "y": t["y"] * factor, "w": w, "h": h, "pixels": cut.astype(np.int32).ravel(), "total": int(cut.sum())}
                 except (ValueError, KeyError) as problem:
-                    out.append((t.id, t.tile_no, 0, 0, 0, 0, [], str(problem)[:200]))
-            yield pd.DataFrame(out, columns=["id", "tile_no", "x", "y", "w", "h", "pixels", "error"])
+                    place["error"] = str(problem)[:200]
+                out.append(place)
+            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in schema], schema=schema)
 
-    return tiles.mapInPandas(run, "id long, tile_no int, x int, y int, w int, h int, pixels array<int>, error string")
+    return tiles.mapInArrow(run, "id long, tile_no int, x int, y int, w int, h int, pixels array<int>, total long, error string")
 
 
 def watched(df: DataFrame, total: str = "tiles") -> tuple[DataFrame, Observation]:
@@ -98,26 +153,25 @@ def watched(df: DataFrame, total: str = "tiles") -> tuple[DataFrame, Observation
     return df.observe(seen, F.count("*").alias("done")), seen
 
 
-def upscaled_images(spark: SparkSession, sf_dir: str, ids: str = "id % 40 = 0") -> DataFrame:
-    """Small images in overlapping tiles through the stand-in engine, tiles painted in order: sum and number of output pixels.
+def drawn(row: dict) -> np.ndarray:
+    """A tile of an image whose pixels are arithmetic on their place, as a decoder would give it."""
+    clip = lambda at, n, whole: np.clip(np.arange(at - PAD, at + n + PAD), 0, whole - 1)
+    ys, xs = clip(row["y"], row["th"], row["h"]), clip(row["x"], row["tw"], row["w"])
+    return ((xs[None] * 7 + ys[:, None] * 13) % 256)[:, :, None]
+
+
+def upscaled_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small images in overlapping tiles through the stand-in engine: number and sum of output pixels.
 
-    A pixel's value is arithmetic on its place, made where the tile is cut."""
-    j = jobs(spark, sf_dir).where(ids).select("id", (F.col("w") % 29 + 20).cast("int").alias("w"), (F.col("h") % 23 + 20).cast("int").alias("h"), F.lit(2).alias("base"), (F.col("id") % 2 + 1).cast("int").alias("chain"))
-    at = lambda v, n: F.greatest(F.lit(0), F.least(F.col(n) - 1, v))
-    tiles = overlapping(j, 24, 8).join(j, "id")
-    ys = F.transform(F.sequence(F.lit(-PAD), F.col("th") + PAD - 1), lambda i: at(F.col("y") + i, "h"))
-    xs = F.transform(F.sequence(F.lit(-PAD), F.col("tw") + PAD - 1), lambda i: at(F.col("x") + i, "w"))
-    pixels = F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: ((x * 7 + y * 13) % 256).cast("int"))))
-    made = upscaled(tiles.withColumn("pixels", pixels))
-    cells = made.select("id", "tile_no", "x", "y", "w", F.posexplode("pixels").alias("p", "v"))
-    cells = cells.select("id", "tile_no", (F.col("x") + F.col("p") % F.col("w")).alias("px"), (F.col("y") + F.floor(F.col("p") / F.col("w"))).alias("py"), "v")
-    painted = cells.groupBy("id", "px", "py").agg(F.max_by("v", "tile_no").alias("v"))
-    return painted.groupBy("id").agg(F.count("*").alias("pixels"), F.sum("v").alias("total"))
+    Tiles are painted in order; each is cut to what it owns, so sums of tiles are summed and no pixel is exchanged."""
+    j = jobs(spark, sf_dir).select("id", (F.col("w") % 29 + 20).cast("int").alias("w"), (F.col("h") % 23 + 20).cast("int").alias("h"), F.lit(2).alias("base"), (F.col("id") % 2 + 1).cast("int").alias("chain"))
+    made = upscaled(owned(overlapping(j, 24, 8).join(j, "id"), 24, 8), read=drawn)
+    return made.groupBy("id").agg(F.sum(F.col("w").cast("long") * F.col("h")).alias("pixels"), F.sum("total").alias("total"))
 
 
-# the given SQL takes some ids only; the whole table has a query of its own
-QUERIES = {"upscaled_images": upscaled_images, "upscaled_images_whole": partial(upscaled_images, ids="true")}
+QUERIES = {"upscaled_images": upscaled_images}
 ORACLE_SQL = {
-    "upscaled_images": f"""WITH {JOBS}, j AS (SELECT id, w % 29 + 20 AS w, h % 23 + 20 AS h, CASE WHEN id % 2 = 0 THEN 2 ELSE 4 END AS f FROM jobs WHERE id % 40 = 0)
-SELECT id, count(*) AS pixels, sum((ox // f * 7 + oy // f * 13) % 256)::BIGINT AS total FROM j, generate_series(0, w * f - 1) a(ox), generate_series(0, h * f - 1) b(oy) GROUP BY 1""",
+    "upscaled_images": f"""WITH {JOBS}, j AS (SELECT id, w % 29 + 20 AS w, h % 23 + 20 AS h, CASE WHEN id % 2 = 0 THEN 2 ELSE 4 END AS f FROM jobs),
+i AS (SELECT id, w, h, f, x, y, ((x * 7 + y * 13) % 256) * f * f AS v FROM j, generate_series(0, w - 1) a(x), generate_series(0, h - 1) b(y))
+SELECT id, sum(f * f)::BIGINT AS pixels, sum(v)::BIGINT AS total FROM i GROUP BY 1""",
 }

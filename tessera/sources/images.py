@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,46 +48,139 @@ def _orientation(data: bytes) -> int:
     return 1
 
 
+def _jxl_size(data: bytes) -> tuple[int, int]:
+    """Width and height of a JPEG XL code stream: bits from the lowest, sizes of one of four lengths, a width by ratio of the height."""
+    held, bits = int.from_bytes(data[2:18], "little"), 8 * len(data[2:18])
+
+    def take(n: int) -> int:
+        nonlocal held, bits
+        value, held, bits = held & (1 << n) - 1, held >> n, bits - n
+        if bits < 0:
+            raise IndexError("the header is cut")
+        return value
+
+    def edge(small: int) -> int:
+        return (take(5) + 1) * 8 if small else take((9, 13, 18, 30)[take(2)]) + 1
+
+    small = take(1)
+    h = edge(small)
+    ratio = take(3)
+    # Width to height by the ratio's number; 0 stands for a width of its own.
+    over, under = ((0, 1), (1, 1), (12, 10), (4, 3), (3, 2), (16, 9), (5, 4), (2, 1))[ratio]
+    return (h * over // under if ratio else edge(small)), h
+
+
+def _tiff_size(data: bytes) -> tuple[int, int]:
+    end = "<" if data[:2] == b"II" else ">"
+    (at,) = struct.unpack_from(end + "I", data, 4)
+    (n,) = struct.unpack_from(end + "H", data, at)
+    found = {}
+    for k in range(n):
+        tag, kind = struct.unpack_from(end + "HH", data, at + 2 + 12 * k)
+        (found[tag],) = struct.unpack_from(end + ("H" if kind == 3 else "I"), data, at + 10 + 12 * k)
+    return found[256], found[257]
+
+
+def _size(data: bytes, mime: str) -> tuple[int, int] | None:
+    """Width and height by a header of the type that the first bytes show."""
+    if mime == "image/png":
+        return struct.unpack(">II", data[16:24])
+    if mime == "image/gif":
+        return struct.unpack("<HH", data[6:10])
+    if mime == "image/bmp":
+        w, h = struct.unpack("<ii", data[18:26])
+        return w, abs(h)
+    if mime == "image/webp":
+        if data[12:16] == b"VP8X":
+            return 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
+        if data[12:16] == b"VP8L":
+            bits = int.from_bytes(data[21:25], "little")
+            return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+        w, h = struct.unpack("<HH", data[26:30])
+        return w & 0x3FFF, h & 0x3FFF
+    if mime in ("image/heif", "image/avif"):
+        # a box of the size per item: the largest is the whole image, others are tiles and thumbnails
+        sizes, at = [], data.find(b"ispe")
+        while at >= 0:
+            if len(data) >= at + 16:
+                sizes.append(struct.unpack(">II", data[at + 8 : at + 16]))
+            at = data.find(b"ispe", at + 4)
+        return max(sizes, key=lambda s: s[0] * s[1], default=None)
+    if mime == "image/jxl":
+        if data[:2] != b"\xff\x0a":
+            at = data.find(b"\xff\x0a", 12)
+            data = data[at:] if at >= 0 else b""
+        return _jxl_size(data) if data else None
+    if mime == "image/tiff":
+        return _tiff_size(data)
+    at = 2
+    while at + 9 < len(data):
+        mark, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+            h, w = struct.unpack(">HH", data[at + 5 : at + 9])
+            return w, h
+        at += 2 + size
+    return None
+
+
 def header(data: bytes) -> tuple | None:
-    """(width, height, mime, orientation, alpha) of png, gif, bmp, webp and jpeg headers; None if unreadable."""
+    """(width, height, mime, orientation, alpha) by the first bytes; None if they are no image's. Types that can hold
+    transparency count as having it (png, webp)."""
+    mime = _format(data)
     try:
-        if data[:8] == b"\x89PNG\r\n\x1a\n":
-            w, h, _, kind = struct.unpack(">IIBB", data[16:26])
-            return w, h, "image/png", 1, kind in (4, 6)
-        if data[:6] in (b"GIF87a", b"GIF89a"):
-            return (*struct.unpack("<HH", data[6:10]), "image/gif", 1, True)
-        if data[:2] == b"BM":
-            w, h = struct.unpack("<ii", data[18:26])
-            return w, abs(h), "image/bmp", 1, False
-        if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
-            if data[12:16] == b"VP8X":
-                return 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little"), "image/webp", 1, bool(data[20] & 16)
-            if data[12:16] == b"VP8L":
-                bits = int.from_bytes(data[21:25], "little")
-                return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF), "image/webp", 1, bool(bits >> 28 & 1)
-            w, h = struct.unpack("<HH", data[26:30])
-            return w & 0x3FFF, h & 0x3FFF, "image/webp", 1, False
-        if data[:2] == b"\xff\xd8":
-            at = 2
-            while at + 9 < len(data):
-                mark, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
-                if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
-                    h, w = struct.unpack(">HH", data[at + 5 : at + 9])
-                    return w, h, "image/jpeg", _orientation(data[: at + 65536]), False
-                at += 2 + size
-    except (struct.error, IndexError):
-        pass
-    return None
+        size = _size(data, mime) if mime else None
+    except (struct.error, IndexError, KeyError):
+        size = None
+    if not size or min(size) <= 0:
+        return None
+    return (*size, mime, _orientation(data) if mime == "image/jpeg" else 1, mime in ("image/png", "image/webp"))
+
+
+# First bytes of image files.
+STARTS = {
+    b"\x89PNG\r\n\x1a\n": "png", b"GIF87a": "gif", b"GIF89a": "gif", b"BM": "bmp", b"\xff\xd8": "jpeg", b"II*\0": "tiff", b"MM\0*": "tiff", b"\xff\x0a": "jxl", b"\0\0\0\x0cJXL ": "jxl",
+}
 
 
 def _format(data: bytes) -> str | None:
-    """The MIME type by the first bytes, of formats whose header is not read as well; None if they are no image's."""
-    if found := header(data):
-        return found[2]
+    """The MIME type by the first bytes; None if they are no image's."""
+    if data[:4] == b"RIFF":
+        return "image/webp" if data[8:12] == b"WEBP" else None
     if data[4:8] == b"ftyp":
         return "image/avif" if data[8:12] in (b"avif", b"avis") else "image/heif"
-    starts = {b"\x89PNG\r\n\x1a\n": "png", b"GIF8": "gif", b"BM": "bmp", b"\xff\xd8": "jpeg", b"II*\0": "tiff", b"MM\0*": "tiff", b"\xff\x0a": "jxl", b"\0\0\0\x0cJXL ": "jxl"}
-    return next((f"image/{v}" for k, v in starts.items() if data.startswith(k)), None)
+    return next((f"image/{v}" for k, v in STARTS.items() if data.startswith(k)), None)
+
+
+HEAD_BYTES = 1 << 18
+
+
+def _derived(probed: DataFrame) -> DataFrame:
+    pixels = F.col("width").cast("long") * F.col("height")
+    return probed.withColumn("pixels", pixels).withColumn("huge", pixels > HUGE_PIXELS)
+
+
+def probe_in_place(paths: DataFrame) -> DataFrame:
+    """As ``probe``, of files (path, length) that executors can open themselves (a mounted folder): only the first 256 KB are read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for path, length in zip(batch["path"], batch["length"], strict=True):
+                try:
+                    with open(_mounted(path), "rb") as file:
+                        head = header(file.read(HEAD_BYTES))
+                except OSError:
+                    continue
+                if head:
+                    found.append((path, length, *head))
+            yield pd.DataFrame(found, columns=["path", "length", "width", "height", "mime", "orientation", "alpha"])
+
+    return _derived(paths.select("path", "length").mapInPandas(run, f"path string, length long, {HEADER}"))
+
+
+def _mounted(path: str) -> str:
+    where = urlparse(path)
+    return unquote(where.path) if where.scheme == "file" else path
 
 
 def probe(files: DataFrame) -> DataFrame:
@@ -90,50 +188,172 @@ def probe(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(p, n, *h) for p, n, c in zip(batch["path"], batch["length"], batch["content"], strict=True) if (h := header(bytes(c[:1 << 18])))]
+            found = [(p, n, *h) for p, n, c in zip(batch["path"], batch["length"], batch["content"], strict=True) if (h := header(bytes(c[:HEAD_BYTES])))]
             yield pd.DataFrame(found, columns=["path", "length", "width", "height", "mime", "orientation", "alpha"])
 
     made = files.select("path", "length", "content").mapInPandas(run, f"path string, length long, {HEADER}")
-    pixels = F.col("width").cast("long") * F.col("height")
-    return made.withColumn("pixels", pixels).withColumn("huge", pixels > HUGE_PIXELS)
+    return _derived(made)
+
+
+PARTS = pa.schema([("id", pa.int64()), ("fmt", pa.string()), ("part", pa.int32()), ("bytes", pa.binary()), ("error", pa.string())])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(id, fmt, part, bytes, error) of rows sorted by id and y. A failing image ends with a row that has an error, and a row before
+    the first (y below 0) is the message of one that failed earlier."""
+    rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True))
+    for key, group in groupby(rows, key=lambda r: r[0]):
+        first = next(group)
+        _, fmt, quality, width, height = first[:5]
+        part = 0
+
+        def lines(first=first, group=group):
+            if first[5] < 0:
+                raise ValueError((first[6] or b"").decode())
+            yield first[5], first[6] or b""
+            for r in group:
+                yield r[5], r[6] or b""
+
+        fmt = codecs.written_as(fmt or "")
+        try:
+            for part, piece in enumerate(codecs.encoded_parts(fmt, lines(), width, height, quality)):
+                yield key, fmt, part, piece, ""
+        except (ValueError, TypeError) as problem:
+            yield key, fmt, part + 1, b"", str(problem)[:200] or "not encoded"
+
+
+def _by_image(rows: DataFrame) -> DataFrame:
+    """Rows of an image in one task, sorted on disk where they do not fit into memory."""
+    wanted = rows.select(F.col("id").cast("long"), "fmt", F.col("quality").cast("int"), F.col("width").cast("int"), F.col("height").cast("int"), F.col("y").cast("int"), "rgb")
+    return wanted.repartition("id").sortWithinPartitions("id", "y")
+
+
+def encoded_parts(rows: DataFrame) -> DataFrame:
+    """Files in pieces (id, fmt, part, bytes, error) of pixel rows (id, fmt, quality, width, height, y, rgb).
+
+    Rows come sorted and pass through a row-wise encoder one by one; neither an image nor its file is ever held whole. A failure is
+    a value in ``error`` of the last piece, not the end of the job. Repeated rows are an error, as missing ones are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(piece, PARTS, strict=True)], schema=PARTS)
+
+    return _by_image(rows).mapInArrow(run, "id long, fmt string, part int, bytes binary, error string")
 
 
 def encoded(rows: DataFrame) -> DataFrame:
-    """Files (id, fmt, bytes, error) of pixel rows (id, fmt, quality, width, height, y, rgb).
+    """Files (id, fmt, bytes, error), one row each, of the same rows; for files that fit into a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, pieces in groupby(_pieces(batches), key=lambda p: p[0]):
+            got = list(pieces)
+            error = got[-1][4]
+            row = {"id": key, "fmt": got[0][1], "bytes": b"" if error else b"".join(p[3] for p in got), "error": error}
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([PARTS.field(n) for n in ("id", "fmt", "bytes", "error")]))
+
+    return _by_image(rows).mapInArrow(run, "id long, fmt string, bytes binary, error string")
+
+
+def saved(rows: DataFrame, folder: str) -> DataFrame:
+    """Encode pixel rows (as ``encoded_parts``, and name) into ``folder``, which driver and executors share: (id, path, length, error).
 
-    One group per image: its rows are sorted in the task and go through a row-wise encoder. A failure is a value
-    in ``error``, not the end of the job.
+    A file grows under a name of its own and takes its place in one step when it is whole; a failed one is deleted. A repeated
+    task replaces the file by the same bytes.
     """
+    schema = pa.schema([("id", pa.int64()), ("path", pa.string()), ("length", pa.int64()), ("error", pa.string())])
+    names = rows.select(F.col("id").cast("long"), "fmt", "quality", "width", "height", "y", "rgb", "name")
+    sorted_rows = names.repartition("id").sortWithinPartitions("id", "y")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.iloc[0]
-        try:
-            order = pdf.sort_values("y")
-            fmt, data = codecs.encode(one["fmt"], zip(order["y"], map(bytes, order["rgb"]), strict=True), int(one["width"]), int(one["height"]), int(one["quality"]))
-            return pd.DataFrame({"id": [one["id"]], "fmt": [fmt], "bytes": [data], "error": [""]})
-        except ValueError as problem:
-            return pd.DataFrame({"id": [one["id"]], "fmt": [one["fmt"]], "bytes": [b""], "error": [str(problem)[:200]]})
-
-    return rows.groupBy("id").applyInPandas(run, "id long, fmt string, bytes binary, error string")
-
-
-def publish(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write beside the target, then put it in the target's place, so that readers see the old or the new whole."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    staged, old = (jvm.org.apache.hadoop.fs.Path(f"{path}.{kind}-{uuid.uuid4().hex}") for kind in ("tmp", "bak"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, str] = {}
+
+        def plain():
+            for b in batches:
+                known.clear()
+                known.update(zip(b.column(0).to_pylist(), b.column(7).to_pylist(), strict=True))
+                yield b.select(list(range(7)))
+
+        os.makedirs(folder, exist_ok=True)
+        for key, pieces in groupby(_pieces(plain()), key=lambda p: p[0]):
+            staged, length, error, target = os.path.join(folder, f".{uuid.uuid4().hex}.pending"), 0, "", ""
+            with open(staged, "wb") as file:
+                for _, fmt, _, piece, error in pieces:
+                    target = target or os.path.join(folder, f"{known[key]}.{fmt}")
+                    length += file.write(piece)
+            if error:
+                os.remove(staged)
+                target, length = None, 0
+            else:
+                os.replace(staged, target)
+            yield pa.RecordBatch.from_pylist([{"id": key, "path": target, "length": length, "error": error}], schema=schema)
+
+    return sorted_rows.mapInArrow(run, "id long, path string, length long, error string")
+
+
+def copied(files: DataFrame, folder: str) -> DataFrame:
+    """Files (path, mime, content) copied into ``folder`` under names of their own: (path, copy, error). The extension goes by
+    the MIME type: png, webp, else jpg. A file without content, or one that cannot be written, has an error and no copy."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            out = []
+            for path, mime, content in zip(batch["path"], batch["mime"], batch["content"], strict=True):
+                kind = (mime or "").lower()
+                ext = "png" if "png" in kind else "webp" if "webp" in kind else "jpg"
+                target = os.path.join(folder, f"{hashlib.sha256(path.encode()).hexdigest()[:24]}.{ext}")
+                try:
+                    if content is None:
+                        raise OSError("no content")
+                    staged = f"{target}.{uuid.uuid4().hex}"
+                    with open(staged, "wb") as file:
+                        file.write(content)
+                    os.replace(staged, target)
+                    out.append((path, target, ""))
+                except OSError as problem:
+                    out.append((path, None, str(problem)[:200]))
+            yield pd.DataFrame(out, columns=["path", "copy", "error"])
+
+    return files.select("path", "mime", "content").mapInPandas(run, "path string, copy string, error string")
+
+
+VERSION = "version="
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[object, object, list[str]]:
+    """File system, its path class and the finished versions below a path, oldest first."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    root = Path(path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return fs, Path, sorted(n for n in names if n.startswith(VERSION))
+
+
+def publish(df: DataFrame, path: str, fmt: str = "parquet", keep: int = 2) -> str:
+    """Write a new version of a table beside the older ones and name it in one step once it is whole; its path.
+
+    A version is renamed into place under a number of its own, so ``published`` finds the old or the new one at any
+    moment, and never none. The ``keep`` newest stay: the one before the last is the backup.
+    """
+    fs, Path, versions = _versions(df.sparkSession, path)
+    number = int(versions[-1][len(VERSION) :].split("-")[0]) + 1 if versions else 1
+    staged, target = f"{path}/_tmp-{uuid.uuid4().hex}", f"{path}/{VERSION}{number:012d}-{uuid.uuid4().hex[:8]}"
     try:
-        df.write.format(fmt).save(staged.toString())
-        if fs.exists(target):
-            fs.rename(target, old)
-        if not fs.rename(staged, target):
-            fs.rename(old, target)
-            raise OSError(f"{path} could not be replaced")
-        fs.delete(old, True)
+        df.write.format(fmt).save(staged)
+        if not fs.rename(Path(staged), Path(target)):
+            raise OSError(f"{target} could not be named")
     finally:
-        fs.delete(staged, True)
+        fs.delete(Path(staged), True)
+    for old in (versions + [target])[:-keep]:
+        fs.delete(Path(f"{path}/{old}"), True)
+    return target
+
+
+def published(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+    """The newest version of a published table; None if there is none."""
+    _, _, versions = _versions(spark, path)
+    return spark.read.format(fmt).load(f"{path}/{versions[-1]}") if versions else None
 
 
 def decoded_tiles(files: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -149,7 +369,7 @@ def decoded_tiles(files: DataFrame, tiles: DataFrame) -> DataFrame:
         columns = ["path", "tile_no", "x", "y", "tw", "th", "rgb", "error"]
         for batch in batches:
             for path, content, wanted in zip(batch["path"], batch["content"], batch["tiles"], strict=True):
-                kind = _format(bytes(content[:1 << 18]))
+                kind = _format(bytes(content[:HEAD_BYTES]))
                 if not kind:
                     continue
                 pixels, error = None, ""

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import threading
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import planning as P
+from tessera.sources.images import publish, published
 
 PLAN = "struct<targetScale:int,allowBasePlusDownsample:boolean>"
 OPTIONS = "struct<format:string,quality:int,keepExif:boolean,keepIccProfile:boolean,pngCompression:int,webpLossless:boolean>"
@@ -31,9 +36,34 @@ def queue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, path: str, seeds: DataFrame) -> DataFrame:
-    """Profiles of a JSON file; the seeds where it holds none that can be read."""
+    """Profiles of a JSON file: none of a blank one, the seeds where it is missing or holds none that can be read."""
+    try:
+        blank = spark.read.text(path).where("trim(value) <> ''").isEmpty()
+    except AnalysisException:  # no such file
+        return seeds
     rows = spark.read.schema(PROFILE).option("mode", "DROPMALFORMED").json(path).where("id IS NOT NULL")
-    return seeds if rows.isEmpty() else rows
+    return rows if blank or not rows.isEmpty() else seeds
+
+
+SETTINGS = "concurrency string, quality int, format string, defaultEngineId string, outputDirUri string, maxQueueSize int"
+# Settings that nobody has changed.
+DEFAULTS = {"concurrency": "balanced", "quality": 95, "format": "jpeg", "defaultEngineId": "", "outputDirUri": "", "maxQueueSize": 5000}
+_writing = threading.Lock()
+
+
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """The one row of settings, defaults for what is missing or cannot be read."""
+    kept = published(spark, path, "json")
+    row = {} if kept is None else {k: v for k, v in (kept.select("*").first() or Row()).asDict().items() if k in DEFAULTS and v is not None}
+    return spark.createDataFrame([tuple((DEFAULTS | row)[k] for k in DEFAULTS)], SETTINGS)
+
+
+def update_settings(spark: SparkSession, path: str, change: Callable[[dict], dict]) -> DataFrame:
+    """Read, change and write the settings. Writers of this process wait for each other; readers see the old or the new row."""
+    with _writing:
+        now = settings(spark, path).first().asDict()
+        publish(spark.createDataFrame([tuple((now | change(now))[k] for k in DEFAULTS)], SETTINGS).coalesce(1), path, "json")
+        return settings(spark, path)
 
 
 def parameters(text: DataFrame) -> DataFrame:
@@ -72,15 +102,45 @@ def graph_ends(layers: DataFrame) -> DataFrame:
     return layers.groupBy("file").agg(F.coalesce(first, F.lit("in0")).alias("input"), F.coalesce(last, F.lit("out0")).alias("output"))
 
 
+def _line() -> Column:
+    return F.format_string("%s %s/%s: %s", P.clock_text(F.col("ts")), "level", "tag", "message").alias("value")
+
+
 def log_text(entries: DataFrame) -> DataFrame:
-    """Entries (ts, level, tag, message) as lines."""
-    return entries.select(F.concat_ws(" ", P.clock_text(F.col("ts")), "level", F.concat("tag", F.lit(":")), "message").alias("value"))
+    """Entries (ts, level, tag, message) as lines: time, level/tag: message."""
+    return entries.select(_line())
 
 
-def system_log(lines: DataFrame, pid: int, tags: tuple[str, ...]) -> DataFrame:
-    """Own crash and tag lines of a system log: level is the fifth field, messages are cut at 400 characters."""
-    fields = F.split("value", r"\s+")
-    crash = F.col("value").rlike("(?i)fatal|crash|exception|signal [0-9]+")
-    own = F.get(fields, F.lit(2)) == str(pid)
-    tagged = F.exists(F.array(*map(F.lit, tags)), lambda t: F.contains(F.col("value"), t))
-    return lines.where(own & (crash | tagged)).select(F.get(fields, F.lit(4)).alias("level"), F.substring("value", 1, 400).alias("message"))
+def append_log(entries: DataFrame, path: str) -> None:
+    """Lines in order of time behind those that the log folder holds."""
+    log_text(entries.orderBy("ts")).write.mode("append").text(path)
+
+
+def log_dump(entries: DataFrame, captured: str) -> DataFrame:
+    """The log as text to hand on: three head lines, a blank one, then all entries in order of time (n, value)."""
+    n = entries.count()
+    spark = entries.sparkSession
+    head = spark.createDataFrame([(-4, "# debug log"), (-3, f"# captured at {captured}"), (-2, f"# entries: {n}"), (-1, "")], "n long, value string")
+    body = entries.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("n"), _line())
+    return head.unionByName(body).orderBy("n").select("value")
+
+
+# Phrases that mark a crash in a system log.
+CRASHES = ("fatal", "unsatisfiedlink", "abort message", "sigsegv", "sigabrt", "jni detected", "dlopen", "process died", "was decommissioned")
+MIRROR = "Logcat"
+
+
+def system_log(lines: DataFrame, pid: int, tags: tuple[str, ...], mirror: str = MIRROR) -> DataFrame:
+    """Own crash and tag lines of a system log, but those that the mirror wrote itself.
+
+    Own lines name the process between spaces or in brackets. The level is the fifth field between single spaces, as E, W, D or
+    else I; messages of over 400 characters are cut and end with an ellipsis.
+    """
+    value, low = F.col("value"), F.lower("value")
+    crash = F.exists(F.array(*map(F.lit, CRASHES)), lambda t: F.contains(low, t))
+    tagged = F.exists(F.array(*[F.lit(t.lower() + ":") for t in tags]), lambda t: F.contains(low, t)) if tags else F.lit(False)
+    own = F.contains(value, F.lit(f" {pid} ")) | F.contains(value, F.lit(f"({pid})"))
+    field = F.get(F.split(value, " "), F.lit(4))
+    level = F.when(field.isin("E", "W", "D"), field).otherwise("I")
+    message = F.when(F.length(value) > 400, F.concat(F.substring(value, 1, 400), F.lit("…"))).otherwise(value)
+    return lines.where(own & (crash | tagged) & ~F.contains(value, F.lit(mirror))).select(level.alias("level"), message.alias("message"))

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import struct
 import zlib
@@ -7,6 +8,7 @@ import pytest
 
 from tessera.functions import codecs
 from tessera.functions.rasters import dct_matrix, zigzag
+from tessera.operators import rasters
 from tessera.sources import images, records
 
 
@@ -217,9 +219,78 @@ def test_formats_without_decoder_give_errors(spark):
 
 def test_published_whole(spark, tmp_path):
     path = str(tmp_path / "out")
-    images.publish(spark.range(5), path)
-    images.publish(spark.range(3), path)
-    assert spark.read.parquet(path).count() == 3 and [x.name for x in tmp_path.iterdir()] == ["out"]
+    assert images.published(spark, path) is None
+    for n in (5, 3, 7):
+        images.publish(spark.range(n), path)
+        assert images.published(spark, path).count() == n
+    assert sorted(x.name[:20] for x in (tmp_path / "out").iterdir()) == ["version=000000000002", "version=000000000003"]
+
+
+def test_files_grow_in_pieces(spark, tmp_path):
+    p = np.random.default_rng(3).integers(0, 256, (300, 200, 3)).astype(np.uint8)
+    made = [(i, fmt, 90, 200, 300, y, r, f"n{i}") for i, fmt in ((1, "png"), (2, "jpeg"), (3, "avif")) for y, r in rows(p)]
+    made += [(4, "png", 90, 200, 300, 0, rows(p)[0][1], "n4"), (5, "png", 90, 200, 300, -1, b"broken before", "n5")]
+    df = spark.createDataFrame(made, "id long, fmt string, quality int, width int, height int, y int, rgb binary, name string").repartition(3)
+    parts = {}
+    for r in images.encoded_parts(df).collect():
+        parts.setdefault(r.id, []).append(r)
+    assert len(parts[1]) > 2 and max(len(r.bytes) for r in parts[1]) < 1 << 18  # never a whole image
+    assert (read_png(b"".join(bytes(r.bytes) for r in sorted(parts[1], key=lambda r: r.part))) == p).all()
+    assert max(parts[4], key=lambda r: r.part).error and max(parts[5], key=lambda r: r.part).error == "broken before"
+    got = {r.id: r for r in images.saved(df, str(tmp_path / "o")).collect()}
+    assert sorted(x.name for x in (tmp_path / "o").iterdir()) == ["n1.png", "n2.jpeg", "n3.jpeg"]
+    assert (codecs.decode_png((tmp_path / "o/n1.png").read_bytes()) == p).all() and got[1].length == (tmp_path / "o/n1.png").stat().st_size
+    assert got[4].error and got[4].path is None and got[5].error == "broken before"
+
+
+def test_headers_of_other_formats():
+    ispe = lambda w, h: struct.pack(">I4sIII", 20, b"ispe", 0, w, h)
+    assert images.header(b"\0\0\0\x18ftypheic" + bytes(12) + ispe(512, 512) + ispe(4032, 3024) + ispe(320, 240))[:3] == (4032, 3024, "image/heif")
+    assert images.header(b"\0\0\0\x18ftypavif" + bytes(12) + ispe(64, 48))[:3] == (64, 48, "image/avif")
+
+    def jxl(*fields):
+        bits = at = 0
+        for value, n in fields:
+            bits, at = bits | value << at, at + n
+        return b"\xff\x0a" + bits.to_bytes(20, "little")
+
+    assert images.header(jxl((1, 1), (5, 5), (0, 3), (7, 5)))[:3] == (64, 48, "image/jxl")  # eighths of both edges
+    assert images.header(jxl((0, 1), (1, 2), (1079, 13), (5, 3)))[:3] == (1920, 1080, "image/jxl")  # a height and 16:9
+    assert images.header(b"\0\0\0\x0cJXL \r\n\x87\n" + bytes(8) + jxl((0, 1), (0, 2), (99, 9), (0, 3), (0, 2), (149, 9)))[:2] == (150, 100)
+    tiff = b"II*\0" + struct.pack("<IHHHIIHHII", 8, 2, 256, 3, 1, 70, 257, 4, 1, 80)
+    assert images.header(tiff)[:3] == (70, 80, "image/tiff")
+    assert images.header(b"\xff\x0a") is None and images.header(b"II*\0") is None and images.header(b"\0\0\0\x18ftypheic") is None
+    p = gradient(5, 4)
+    for sign in (1, -1):
+        lines = b"".join(row[:, ::-1].tobytes() + b"\0" for row in (p[::-1] if sign > 0 else p))
+        bmp = b"BM" + struct.pack("<IHHI", 54 + len(lines), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 5, 4 * sign, 1, 24, 0, 0, 0, 0, 0, 0) + lines
+        assert images.header(bmp)[:3] == (5, 4, "image/bmp") and (codecs.decode_bmp(bmp) == p).all()
+
+
+def test_copies_and_probes_in_place(spark, tmp_path):
+    p = gradient(9, 7)
+    data = codecs.png(rows(p), 9, 7)
+    files = spark.createDataFrame([("u/1", "image/PNG", data), ("u/2", "image/webp", b"w"), ("u/3", None, b"j"), ("u/4", "image/png", None)], "path string, mime string, content binary")
+    got = {r.path: r for r in images.copied(files, str(tmp_path / "c")).collect()}
+    assert [got[f"u/{n}"].copy and got[f"u/{n}"].copy.rsplit(".", 1)[1] for n in (1, 2, 3, 4)] == ["png", "webp", "jpg", None]
+    assert open(got["u/1"].copy, "rb").read() == data and got["u/4"].error
+    paths = images.scan(spark, str(tmp_path / "c")).select("path", "length")
+    probed = images.probe_in_place(paths)
+    assert [(r.width, r.height, r.mime, r.alpha, r.pixels) for r in probed.collect()] == [(9, 7, "image/png", True, 63)]
+
+
+def test_checksums(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: r.crc for r in rasters.row_checksums(spark, sf_dir).collect()}
+    assert got == {k: zlib.crc32((t or "").encode()) for k, t in texts.items()}
+
+
+def test_settings(spark, tmp_path):
+    path = str(tmp_path / "settings")
+    assert records.settings(spark, path).first().asDict() == records.DEFAULTS
+    records.update_settings(spark, path, lambda s: {"quality": s["quality"] - 5})
+    got = records.update_settings(spark, path, lambda s: {"format": "png"}).first()
+    assert (got.quality, got.format, got.concurrency) == (90, "png", "balanced")
 
 
 def test_records(spark, tmp_path):
@@ -231,6 +302,9 @@ def test_records(spark, tmp_path):
     seeds = spark.createDataFrame([("seed",)], "id string")
     path.write_text("{broken")
     assert records.profiles(spark, str(path), seeds).collect()[0].id == "seed"
+    assert records.profiles(spark, str(tmp_path / "none.json"), seeds).collect()[0].id == "seed"
+    path.write_text(" \n")
+    assert records.profiles(spark, str(path), seeds).count() == 0
     text = spark.createDataFrame([(json.dumps({"e1": {"tile": {"enabled": True, "value": 192, "defaultValue": 256}, "pad": {"enabled": False, "value": 1, "defaultValue": 18}}}),), ("{",)], "json string")
     assert {(r.engine, r.name): r.effective for r in records.parameters(text).collect()} == {("e1", "tile"): 192.0, ("e1", "pad"): 18.0}
 
@@ -245,7 +319,16 @@ def test_graph(spark):
     assert tuple(records.graph_ends(layers).first()) == ("m", "in0", "out0")
 
 
-def test_logs(spark):
-    lines = spark.createDataFrame([("01-01 10:00:00 42 7 E App: FATAL x",), ("01-01 10:00:00 42 7 I mytag: y" + "z" * 500,), ("01-01 10:00:00 43 7 E FATAL",), ("01-01 10:00:00 42 7 I other",)], "value string")
-    got = sorted((r.level, len(r.message)) for r in records.system_log(lines, 42, ("mytag",)).collect())
-    assert got == [("E", 34), ("I", 400)]
+def test_logs(spark, tmp_path):
+    head = "01-01 10:00:00.000 42 7"
+    kept = [(f"{head} E App: FATAL x", "E"), (f"{head} I mytag: y" + "z" * 500, "I"), (f"{head} V lib: dlopen failed", "I"), ("01-01 x y z D x(42): Abort message", "D"), (f"{head} W DEBUG: SIGSEGV", "W")]
+    gone = ["01-01 10:00:00 43 7 E FATAL", f"{head} I other", f"{head} E exception", f"{head} E Logcat: FATAL", "01-01 10:00:00 421 7 E FATAL"]
+    lines = spark.createDataFrame([(k,) for k, _ in kept] + [(g,) for g in gone], "value string")
+    got = {r.message: r.level for r in records.system_log(lines, 42, ("mytag",)).collect()}
+    assert got == {k if len(k) <= 400 else k[:400] + "…": level for k, level in kept}
+    entries = spark.createDataFrame([(dt.datetime(2024, 1, 1, 10, 0, n, 5000), "I", "t", f"m{n}") for n in (2, 1)], "ts timestamp_ntz, level string, tag string, message string")
+    want = ["10:00:01.005 I/t: m1", "10:00:02.005 I/t: m2"]
+    assert [r.value for r in records.log_dump(entries, "now").collect()] == ["# debug log", "# captured at now", "# entries: 2", "", *want]
+    for _ in range(2):
+        records.append_log(entries.coalesce(1), str(tmp_path / "log"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "log")).collect()) == sorted(want * 2)
