@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.shared import delete, shared_folder
+
 #: ASCII white space, as every contract on words here means it.
 SPACE = r"[\x20\x09-\x0D]+"
-_own_folder: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return _own_folder[0]
+#: Folders that ``written`` made, for the Scratch that is open.
+_made: list[list[str]] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -34,10 +28,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Unlike a local checkpoint the files outlive any executor, and unlike a cached
     table they are columnar, so later passes read only the columns they use.
     """
+    return _placed(df, name)[0]
+
+
+def _placed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Deletes what was written while it was open, but for the tables that were ``kept``; those go with ``delete``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        _made.append([])
+        return self
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        table, path = _placed(df, name)
+        self.paths.append(path)
+        return table
+
+    def __exit__(self, *_) -> None:
+        for path in _made.pop():
+            if path not in self.paths:
+                delete(self.spark, path)
+
+    def delete(self) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -69,7 +94,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int
     ).where(F.col("u").isNotNull() & F.col("v").isNotNull() & F.col(left).isNotNull() & F.col(right).isNotNull())
     pairs = written(pairs.distinct(), "links")  # whatever makes the edges runs once
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("id"))
-    links = pairs.where("u <> v")
+    links, before = pairs.where("u <> v"), None
     state = None
     for _ in range(rounds):
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -78,7 +103,10 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int
         large = large.where("u <> v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = written(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
+        links, path = _placed(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
+        if before:
+            delete(links.sparkSession, before)
+        before = path
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break

@@ -1,25 +1,32 @@
 """N-gram Jaccard join in the metric space of shingle sets, exact at distance 1 - threshold.
 
-Documents as pivots would put all unrelated texts at distance 1, so the first pivots are single shingles. A
-set's nearest such pivots are its own shingles, all at the same distance; a fixed global order picks the home
-region, and the window of the distance bound says into how many further regions, in that order, the set must
-be copied so that every pair within the bound meets (for n shingles the first n - ceil(threshold * n) + 1).
-Sets of equal content are one point. In a region, pairs must lie in each other's window of sizes (their distances
-to the empty set) and of places. Regions that are too large are joined recursively: their shingles go to the end
-of the order, which spreads their members over rarer pivots, and what is still too large is joined in bounded
-blocks, where a document is the pivot and triangle-inequality windows of the distance to it say which pairs are
-computed. Every link is decided on whole sets.
+Pivots divide the space into Voronoi regions, the triangle inequality says which documents near a border must be copied into
+a region, and regions join recursively. Where documents serve as pivots and where not follows from the distances:
+
+1. Sets of equal content are one point.
+2. Unrelated texts are at distance 1 of each other, so no document tells them apart. There the pivots are single shingles, of
+   which a set is near exactly those it holds; a fixed order picks the first n - ceil(threshold * n) + 1 of them, so that every pair
+   within the bound meets (a prefix filter). In a region, pairs must lie in each other's window of sizes and of places. Regions
+   that are too large are joined anew with their shingles last in the order, which spreads what only shares a passage.
+3. What stays crowded holds texts that are near to each other. There the pivots are documents: every member's distance to some
+   pivots is computed, members within the bound of a pivot are linked to it, and so to each other. A pair is open only if its ends
+   are not connected so far. Ends that are outside the largest connected part of a region choose new pivots among them, round after
+   round. What is left lies in the Voronoi region of its nearest pivot; members are copied into a region if the triangle
+   inequality allows a link, and regions are joined in bounded blocks.
+
+Links between different sets are confirmed on the words themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import components, read, written
@@ -28,8 +35,14 @@ WORDS = 5
 THRESHOLD = Fraction(3, 4)
 #: Regions with more sets are joined recursively.
 REGION = 32
-#: Sets in a block of the last level.
+#: Sets in a block of the last level; crowded regions with more open members take document pivots.
 BLOCK = 1024
+#: Document pivots of a region and round, and rounds at most; what is open then is joined in blocks.
+PIVOTS, ROUNDS = 6, 4
+#: Another round is worth while if the one before left at most this share of the open members.
+PROGRESS = 0.8
+#: Members that one task compares with a pivot.
+SLICE = 4096
 #: Shingles that are moved to the end of the order, the most crowded first (8 bytes each, broadcast).
 DEMOTED = 1_000_000
 #: Rows of (pivot, document) that are broadcast to fetch texts; more are joined by shuffling.
@@ -38,60 +51,79 @@ BROADCAST_ROWS = 500_000
 TOGETHER = 512
 #: Rows and shingles of a strip, and cells of the table it is multiplied with.
 STRIP_ROWS, STRIP_SHINGLES, STRIP_CELLS = 128, 1 << 16, 1 << 22
-#: Bytes that are hashed at once.
-SEGMENT = 1 << 18
+#: Bytes of texts that are hashed at once, and of words that are hashed in lanes of eight; longer ones take blake2b.
+SEGMENT, LANES = 1 << 21, 64
 #: Bits of the parity sketch: each differing shingle flips one, so differing bits bound the difference from below.
 BITS = 1024
 
 U = np.uint64
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(0, 2**64, 256, dtype=U)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[32, *range(9, 14)]] = True
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
+_SPACES = bytes([32, *range(9, 14)])
+#: A-Z as a-z, white space as a blank.
+_PLAIN = bytes(32 if c in _SPACES else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_WORD = re.compile(rb"[^ ]+")
+_STEP = 0x9E3779B97F4A7C15
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
+    """A permutation of 64 bits without structure."""
     z = (z ^ (z >> U(30))) * U(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> U(27))) * U(0x94D049BB133111EB)
     return z ^ (z >> U(31))
 
 
-def _tables(size: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < size:
-        size = max(size, SEGMENT + 1)
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, U), np.full(size, x % 2**64, U)]), dtype=U) for x in (_BASE, pow(_BASE, -1, 2**64))]
-    return _powers
+def _word_hashes(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: eight bytes at a time pass through the mixer, so words of one length up to eight bytes never share a
+    hash and no pattern in longer ones cancels out. Long words are hashed by a cryptographic function."""
+    lanes = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
+    size = end - begin
+    out = _mix(size.astype(U) * U(_STEP))
+    todo, at = np.flatnonzero(size <= LANES), 0
+    while len(todo):
+        left = size[todo] - at
+        part = lanes[begin[todo] + at]
+        cut = left < 8
+        part[cut] &= (U(1) << (U(8) * left[cut].astype(U))) - U(1)
+        out[todo] = _mix((out[todo] ^ part) + U(_STEP))
+        todo, at = todo[left > 8], at + 8
+    for i in np.flatnonzero(size > LANES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def word_shingles(text: str | None, words: int = WORDS) -> set[bytes]:
+    """The shingles themselves, as words with blanks between."""
+    w = _WORD.findall((text or "").encode().translate(_PLAIN))
+    return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
 
+class Confirmed:
+    """Decides pairs of texts on their words; the sets used last are kept."""
 
-def _word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of words, a segment of the bytes at a time, so that memory does not follow the text's length."""
-    word = np.empty(len(begin), U)
-    i = 0
-    while i < len(begin):
-        j = max(i + 1, int(np.searchsorted(begin, begin[i] + SEGMENT)))
-        start, stop = begin[i], end[j - 1]
-        power, inverse = _tables(stop - start + 1)
-        total = np.concatenate([np.zeros(1, U), np.cumsum(_BYTE[data[start:stop]] * power[: stop - start], dtype=U)])
-        b, e = begin[i:j] - start, end[i:j] - start
-        word[i:j] = _mix((total[e] - total[b]) * inverse[b] + (e - b).astype(U))
-        i = j
-    return word
+    def __init__(self, texts: list[str | None]):
+        self.texts, self.held = texts, {}
+
+    def shingles(self, i: int) -> set[bytes]:
+        if i not in self.held:
+            if len(self.held) > 64:
+                self.held.clear()
+            self.held[i] = word_shingles(self.texts[i])
+        return self.held[i]
+
+    def __call__(self, i: int, j: int) -> bool:
+        a, b = self.shingles(i), self.shingles(j)
+        return bool(a) and bool(b) and bool(linked(len(a & b), len(a) + len(b)))
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """Per text the sorted distinct 64-bit hashes of its word shingles; one hash for the whole of a shorter text."""
     raw = [(t or "").encode() for t in texts]
-    if len(raw) > 1 and sum(map(len, raw)) > 8 * SEGMENT:
+    if len(raw) > 1 and sum(map(len, raw)) > SEGMENT:
         half = len(raw) // 2
         return shingle_sets(texts[:half], words) + shingle_sets(texts[half:], words)
-    data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
-    if not len(data):
+    data = b" ".join([*raw, b""]).translate(_PLAIN)
+    if not data:
         return [np.zeros(0, U) for _ in texts]
-    space = _IS_SPACE[data]
+    space = np.frombuffer(data, np.uint8) == 32
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
     begin, end = edge[::2], edge[1::2]
     word = _word_hashes(data, begin, end)
@@ -99,7 +131,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     first = np.searchsorted(begin, bounds)
     folded = _mix(word + U(words))
     for k in range(1, words):
-        folded = _mix(folded[: len(folded) - 1] * U(_BASE) + word[k:]) if len(folded) > 1 else folded[:0]
+        folded = _mix(folded[: len(folded) - 1] * U(_STEP) + word[k:]) if len(folded) > 1 else folded[:0]
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= words:
@@ -107,7 +139,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
         elif b > a:
             h = _mix(word[a : a + 1] + U(b - a))
             for k in range(a + 1, b):
-                h = _mix(h * U(_BASE) + word[k : k + 1])
+                h = _mix(h * U(_STEP) + word[k : k + 1])
             out.append(h)
         else:
             out.append(np.zeros(0, U))
@@ -219,7 +251,7 @@ def spread(sets: DataFrame) -> DataFrame:
 
 
 class Join:
-    """The steps of one join. ``docs`` has doc_id and text."""
+    """The steps of one join. ``docs`` has doc_id, unique where it is not null, and text."""
 
     def __init__(self, docs: DataFrame):
         self.spark = docs.sparkSession
@@ -294,77 +326,150 @@ class Join:
         return found.union(self.pair_by_pair(rest))
 
     def pair_by_pair(self, near: DataFrame) -> DataFrame:
-        wanted = near.select(F.col("a").alias("p"), F.col("b").alias("y"))
-        wanted = wanted.union(wanted.select("p", F.col("p").alias("y")).distinct())
-        rows = self.fetched(wanted, "y").select("p", "y", "text").repartition("p").sortWithinPartitions("p", F.col("y") != F.col("p"), "y")
+        """The linked ones of pairs (a, b)."""
+        return self.measured(near.select(F.col("a").alias("p"), F.col("b").alias("x"))).where("hit").select(F.col("p").alias("a"), F.col("x").alias("b"))
+
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """(p, x, d, hit) of distinct pairs (p, x): their distance, and whether they are linked. A pivot with many members is sent to
+        as many tasks as these need; a task reads the pivot, then its members one after the other."""
+        pairs = written(pairs.where("p <> x").distinct(), "jaccard-measured")
+        shares = pairs.groupBy("p").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("shares"))
+        members = pairs.join(shares, "p").select("p", F.pmod(F.xxhash64("x"), "shares").cast("int").alias("share"), "x")
+        pivots = shares.select("p", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("p").alias("x"))
+        rows = self.fetched(members.unionByName(pivots), "x").select("p", "share", "x", "text")
+        rows = rows.repartition("p", "share").sortWithinPartitions("p", "share", F.col("x") != F.col("p"), "x")
 
-        def by_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pivot, own = None, []
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pivot, own, words = None, np.zeros(0, U), ""
             for batch in batches:
-                hits = []
+                found = []
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    for p, y, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(part.column(2).to_pylist()), strict=True):
-                        if p == y:
-                            own = own if p == pivot else []  # an id may stand for several rows
-                            pivot = p
-                            own.append(s)
-                        elif any(linked(common(o, s), len(o) + len(s)) for o in own):
-                            hits.append((p, y))
-                yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        return rows.mapInArrow(by_set, "a long, b long")
+                    texts = part.column(3).to_pylist()
+                    for p, x, text, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), texts, shingle_sets(texts), strict=True):
+                        if p == x:
+                            pivot, own, words = p, s, text
+                        elif p == pivot and len(s) and len(own):
+                            both = common(own, s)
+                            hit = bool(linked(both, len(own) + len(s))) and Confirmed([words, text])(0, 1)
+                            found.append((p, x, 1 - both / (len(own) + len(s) - both), hit))
+                columns = list(zip(*found, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], names=["p", "x", "d", "hit"])
+
+        return written(rows.mapInArrow(run, "p long, x long, d double, hit boolean"), "jaccard-distances")
+
+    def pivoted(self, members: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        """Rounds of document pivots over regions (s, x): (members with their part c, distances (s, p, x, d), edges).
+
+        In each round every region with more than BLOCK open members chooses pivots among them, as documents with the smallest of
+        several hashes, and all of its members are measured against these. Members are open if they are not of the largest
+        connected part of their region."""
+        labelled, measured, edges, chosen = members.withColumn("c", F.col("x")), None, None, None
+        open_before = None
+        for _ in range(ROUNDS):
+            parts = labelled.groupBy("s", "c").count()
+            tops = parts.groupBy("s").agg(F.max_by("c", F.struct("count", "c")).alias("top"), (F.sum("count") - F.max("count")).alias("open"))
+            tops = written(tops.where(F.col("open") > BLOCK), "jaccard-open")
+            still = tops.agg(F.sum("open")).first()[0] or 0
+            if not still or open_before is not None and still > PROGRESS * open_before:
+                break
+            open_before = still
+            free = labelled.join(tops, "s").where("c <> top")
+            picks = free.groupBy("s").agg(F.array_distinct(F.array(*[F.min_by("x", F.xxhash64("x", F.lit(k))) for k in range(PIVOTS)])).alias("ps"))
+            picks = written(picks.select("s", F.explode("ps").alias("p")), "jaccard-pivots")
+            chosen = picks if chosen is None else chosen.unionByName(picks)
+            new = self.measured(members.join(picks, "s").select("p", "x"))
+            measured = new if measured is None else measured.unionByName(new)
+            edges = measured.where("hit").select(F.col("p").alias("a"), F.col("x").alias("b"))
+            classes = components(edges)
+            labelled = members.join(classes, F.col("x") == F.col("id"), "left").select("s", "x", F.coalesce("component_id", "x").alias("c"))
+            labelled = written(labelled, "jaccard-parts")
+        if chosen is None:
+            return labelled, None, None
+        own = chosen.distinct().select("s", "p", F.col("p").alias("x"), F.lit(0.0).alias("d"))
+        spots = members.join(chosen.distinct(), "s").join(measured.groupBy("p", "x").agg(F.max("d").alias("d")), ["p", "x"]).select("s", "p", "x", "d")
+        return labelled, written(spots.unionByName(own), "jaccard-spots"), edges
 
     def crowded(self, members: DataFrame, points: DataFrame) -> DataFrame:
-        """Links inside regions that stayed large: (s, x) rows, joined in pairs of bounded blocks.
+        """Links inside regions that stayed large: (s, x) rows.
 
-        A pair that shares several such regions is decided in the one with the smallest shingle: a first pass over
-        the members' lists of regions finds the documents that a block needs, and only their texts are sent.
+        A pair that shares several such regions is decided in the one with the smallest shingle. Open members are the core of the Voronoi
+        region of their nearest pivot; into it come the members whose distance to that pivot the triangle inequality allows. A first
+        pass over sizes, parts, distances and lists of regions finds the documents that a block needs, and only their texts are sent.
         """
         members = written(members.distinct(), "jaccard-crowded")
+        labelled, spots, edges = self.pivoted(members)
         lists = members.groupBy("x").agg(F.array_sort(F.collect_set("s")).alias("all"))
-        sizes = points.groupBy(F.col("doc_id").alias("x")).agg(F.max("n").alias("n"), F.min("n").alias("least"))
-        blocks = members.groupBy("s").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-        rows = members.join(lists, "x").join(sizes, "x").join(blocks, "s").withColumn("block", F.pmod(F.xxhash64("x"), "nb").cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        rows = rows.select("s", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("right"), "x", "n", "least", F.filter("all", lambda t: t < F.col("s")).alias("before"))
+        sizes = points.groupBy(F.col("doc_id").alias("x")).agg(F.max("n").alias("n"))
+        parts = labelled.groupBy("s", "c").count()
+        tops = parts.groupBy("s").agg(F.max_by("c", F.struct("count", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+        rows = labelled.join(tops.select("s", "top"), "s").withColumn("open", F.col("c") != F.col("top")).drop("top")
+        if spots is None:
+            rows = rows.withColumns({"ds": F.array().cast("array<struct<p:bigint,d:double>>"), "h": F.lit(0).cast("long")})
+        else:
+            ds = spots.groupBy("s", "x").agg(F.array_sort(F.collect_list(F.struct("p", "d"))).alias("ds"), F.min_by("p", F.struct("d", "p")).alias("h"))
+            rows = rows.join(ds, ["s", "x"], "left")
+            rows = rows.withColumns({"ds": F.coalesce("ds", F.array().cast("array<struct<p:bigint,d:double>>")), "h": F.coalesce("h", F.lit(0).cast("long"))})
+        rows = written(rows, "jaccard-rows")
+        here = F.coalesce(F.array_max(F.transform(F.filter("ds", lambda q: q["p"] == F.col("h")), lambda q: q["d"])), F.lit(0.0))
+        cells = rows.where("open").groupBy("s", "h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.max(here).alias("far"), F.min(here).alias("near"))
+        bound, slack = 1 - float(THRESHOLD), 1e-9
+        # visitors: members that a core member may be linked with, by the distances to the cell's pivot and to their own nearest one
+        guests = rows.drop("h").join(cells, "s")
+        there = F.coalesce(F.array_max(F.transform(F.filter("ds", lambda q: q["p"] == F.col("h")), lambda q: q["d"])), F.lit(0.0))
+        nearest = F.coalesce(F.array_min(F.transform("ds", lambda q: q["d"])), F.lit(0.0))
+        guests = guests.where((there <= F.col("far") + bound + slack) & (there >= F.col("near") - bound - slack) & (there <= nearest + 2 * bound + slack))
+        counted = guests.groupBy("s", "h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nv"))
+        spread_over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        core = rows.where("open").join(cells.select("s", "h", "nb"), ["s", "h"]).join(counted, ["s", "h"])
+        core = core.withColumn("i", F.pmod(F.xxhash64("x"), "nb").cast("int")).withColumn("j", spread_over("nv")).withColumn("core", F.lit(True))
+        guests = guests.join(counted, ["s", "h"]).withColumn("j", F.pmod(F.xxhash64("x"), "nv").cast("int")).withColumn("i", spread_over("nb")).withColumn("core", F.lit(False))
+        columns = ["s", "h", "i", "j", "core", "x", "c", "open", "ds"]
+        tasks = core.select(*columns).unionByName(guests.select(*columns)).join(lists, "x").join(sizes, "x")
+        tasks = tasks.select(*columns, "n", F.filter("all", lambda t: t < F.col("s")).alias("before"))
 
         def needed(key, table):
-            x, n, least = (table.column(c).to_numpy() for c in ("x", "n", "least"))
-            right = table.column("right").to_numpy(zero_copy_only=False).astype(bool)
-            left = ~right
-            if key[1].as_py() == key[2].as_py():
-                right = left = np.ones(len(x), bool)
-            marks = table.column("before").to_pylist()
+            x, n, part = (table.column(c).to_numpy() for c in ("x", "n", "c"))
+            is_core, free = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("core", "open"))
             columns: dict[int, int] = {}
-            flat = [(i, columns.setdefault(t, len(columns))) for i, m in enumerate(marks) for t in m]
+            flat = [(i, columns.setdefault(t, len(columns))) for i, m in enumerate(table.column("before").to_pylist()) for t in m]
             grid = np.zeros((len(x), max(1, len(columns))), np.float32)
             if flat:
                 grid[tuple(np.array(flat).T)] = 1
+            spots = table.column("ds").to_pylist()
+            pivots = sorted({q["p"] for ds in spots for q in ds})
+            gaps = np.full((len(x), len(pivots)), np.nan)
+            for i, ds in enumerate(spots):
+                for q in ds:
+                    gaps[i, pivots.index(q["p"])] = q["d"]
+            left, right = np.flatnonzero(is_core), np.flatnonzero(~is_core)
             use = np.zeros(len(x), bool)
-            r = np.flatnonzero(right)
-            for at in range(0, int(left.sum()), 256):
-                q = np.flatnonzero(left)[at : at + 256]
-                ok = (grid[q] @ grid[r].T == 0) & (THRESHOLD.denominator * n[q][:, None] >= THRESHOLD.numerator * least[r][None]) & (THRESHOLD.denominator * n[r][None] >= THRESHOLD.numerator * least[q][:, None])
-                ok &= x[q][:, None] != x[r][None]
+            for at in range(0, len(left), 256):
+                q = left[at : at + 256]
+                ok = (grid[q] @ grid[right].T == 0) & (THRESHOLD.denominator * n[q][:, None] >= THRESHOLD.numerator * n[right][None]) & (THRESHOLD.denominator * n[right][None] >= THRESHOLD.numerator * n[q][:, None])
+                # a pair of open members meets in both ends' regions
+                ok &= (part[q][:, None] != part[right][None]) & (~free[right][None] | (x[q][:, None] < x[right][None]))
+                for k in range(len(pivots)):
+                    ok &= ~(np.abs(gaps[q, k][:, None] - gaps[right, k][None]) > bound + slack)
                 use[q] |= ok.any(axis=1)
-                use[r] |= ok.any(axis=0)
+                use[right] |= ok.any(axis=0)
             picked = np.flatnonzero(use)
-            task = f"{key[0].as_py()}:{key[1].as_py()}:{key[2].as_py()}"
-            return pa.table({"task": pa.array([task] * len(picked), pa.string()), "same": pa.array([key[1].as_py() == key[2].as_py()] * len(picked), pa.bool_()), "right": table.column("right").take(pa.array(picked)).cast(pa.bool_()), "x": pa.array(x[picked], pa.int64())})
+            task = ":".join(str(k.as_py()) for k in key)
+            return pa.table({"task": pa.array([task] * len(picked), pa.string()), "core": pa.array(is_core[picked]), "x": pa.array(x[picked], pa.int64()), "c": pa.array(part[picked], pa.int64())})
 
-        wanted = rows.groupBy("s", "i", "j").applyInArrow(needed, "task string, same boolean, right boolean, x long")
-        sent = self.fetched(wanted, "x").select("task", "same", "right", "x", "text")
+        wanted = tasks.groupBy("s", "h", "i", "j").applyInArrow(needed, "task string, core boolean, x long, c long")
+        wanted = wanted.groupBy("task", "x").agg(F.max("core").alias("core"), F.min("core").alias("only"), F.min("c").alias("c"))
+        sent = self.fetched(wanted, "x").select("task", "core", "only", "x", "c", "text")
 
         def decide(table):
-            x = table.column("x").to_numpy()
-            sets = shingle_sets(table.column("text").to_pylist())
-            right = table.column("right").to_numpy(zero_copy_only=False).astype(bool)
-            one = table.column("same")[0].as_py()
-            edges = block_links(sets, np.ones(len(x), bool) if one else ~right, np.ones(len(x), bool) if one else right)
+            x, part = table.column("x").to_numpy(), table.column("c").to_numpy()
+            texts = table.column("text").to_pylist()
+            left, only = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("core", "only"))
+            edges = block_links(shingle_sets(texts), left, ~only, parts=np.unique(part, return_inverse=True)[1], confirm=Confirmed(texts))
             return pa.table({"a": pa.array([int(x[i]) for i, _ in edges], pa.int64()), "b": pa.array([int(x[j]) for _, j in edges], pa.int64())})
 
-        return sent.groupBy("task").applyInArrow(decide, "a long, b long")
+        found = sent.groupBy("task").applyInArrow(decide, "a long, b long")
+        return found if edges is None else found.unionByName(edges)
 
     def links(self, points: DataFrame, reps: DataFrame) -> DataFrame:
         """Edges (a, b) between representatives of equal sets that connect all that is linked."""
@@ -393,29 +498,32 @@ class Join:
 
 def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Forests of the links inside groups of rows (group, id, text) that stand together."""
-    key, ids, sets = None, [], []
+    key, ids, sets, texts = None, [], [], []
 
     def decided() -> pa.RecordBatch:
         every = np.ones(len(ids), bool)
-        edges = [(ids[i], ids[j]) for i, j in block_links(sets, every, every)]
+        edges = [(ids[i], ids[j]) for i, j in block_links(sets, every, every, confirm=Confirmed(texts))]
         return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            for p, y, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(part.column(2).to_pylist()), strict=True):
+            new = part.column(2).to_pylist()
+            for p, y, s, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(new), new, strict=True):
                 if p != key:
                     if len(ids) > 1:
                         yield decided()
-                    key, ids, sets = p, [], []
+                    key, ids, sets, texts = p, [], [], []
                 ids.append(y)
                 sets.append(s)
+                texts.append(text)
     if len(ids) > 1:
         yield decided()
 
 
-def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: Fraction = THRESHOLD) -> list[tuple[int, int]]:
-    """Linked pairs (row of left, row of right) that connect all that is linked, decided exactly.
+def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: Fraction = THRESHOLD, parts: np.ndarray | None = None, confirm: Callable[[int, int], bool] = lambda i, j: True) -> list[tuple[int, int]]:
+    """Linked pairs (row of left, row of right) that connect all that is linked, decided exactly. Rows of one of ``parts`` are known to be
+    connected. ``confirm`` has the last word on a pair.
 
     The first row is the pivot. Rows are sorted by their distance to it, and by the triangle inequality only pairs whose
     distances differ by at most the bound are computed, strip by strip, as products of incidence rows.
@@ -423,9 +531,20 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thr
     if not len(sets):
         return []
     size = np.array([len(s) for s in sets])
+    part = np.arange(len(sets)) if parts is None else parts.copy()
+    edges: list[tuple[int, int]] = []
+
+    def join_ends(i: int, j: int) -> None:
+        if part[i] != part[j] and confirm(i, j):
+            edges.append((i, j))
+            part[part == part[j]] = part[i]
+
     if len(sets) <= 6:
-        pairs = [(i, j) for i in np.flatnonzero(left).tolist() for j in np.flatnonzero(right).tolist() if i != j]
-        return [(i, j) for i, j in pairs if linked(common(sets[i], sets[j]), int(size[i] + size[j]), threshold)]
+        for i in np.flatnonzero(left).tolist():
+            for j in np.flatnonzero(right).tolist():
+                if i != j and (both := common(sets[i], sets[j])) and linked(both, int(size[i] + size[j]), threshold):
+                    join_ends(i, j)
+        return edges
     to_pivot = np.array([1 - (c := common(sets[0], s)) / max(1, len(sets[0]) + len(s) - c) for s in sets])
     bound = 1 - float(threshold) + 1e-9
     shingle, column = np.unique(np.concatenate(sets), return_inverse=True)
@@ -437,8 +556,6 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thr
     starts = np.searchsorted(row, np.arange(len(sets) + 1))
     order_l = np.flatnonzero(left)[np.argsort(to_pivot[left], kind="stable")]
     order_r = np.flatnonzero(right)[np.argsort(to_pivot[right], kind="stable")]
-    part = np.arange(len(sets))
-    edges: list[tuple[int, int]] = []
     at = 0
     while at < len(order_l):
         # a strip holds a bounded number of shingles, so its table is small however long the texts are
@@ -466,53 +583,79 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thr
             hit = linked(both, size[q][:, None] + size[r][None], threshold) & (q[:, None] != r[None]) & (both > 0)
             for k in np.flatnonzero(hit.any(axis=1)):
                 for j in r[hit[k]]:
-                    if part[q[k]] != part[j]:
-                        edges.append((int(q[k]), int(j)))
-                        part[part == part[j]] = part[q[k]]
+                    join_ends(int(q[k]), int(j))
     return edges
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``.
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with a key ``_x`` that is unique but for rows of one id and text, and whether it is other than doc_id.
 
-    Null and empty texts and texts without words have no shingles and link with nothing. Texts with the same set are
-    linked. Rows that repeat an id are one document that has the links of all its texts; a null id stays unlinked and
-    has a null class. Other columns are not read.
+    Where ids repeat, the rows of those ids have a 64-bit hash of id and text for a key. Rows without an id have no key.
     """
+    docs = docs.withColumn("_x", F.col("doc_id").cast("long"))
+    again = docs.where("_x IS NOT NULL").groupBy(F.col("_x").alias("_r")).count().where("count > 1").select("_r")
+    if again.isEmpty():
+        return docs, False
+    own = F.when(F.col("_r").isNotNull(), F.xxhash64("_x", F.coalesce("text", F.lit("")))).otherwise(F.col("_x"))
+    return docs.join(again, F.col("_x") == F.col("_r"), "left").withColumn("_x", own).drop("_r"), True
+
+
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points (doc_id, n, fp) of rows whose doc_id is a key, and the class (fp, component_id) of every set: a key of it."""
     work = Join(docs)
     points = work.points()
     known = points.where("n > 0 AND doc_id IS NOT NULL")
     reps = written(known.groupBy("fp").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    edges = work.links(points, reps)
-    # an id with several texts connects their classes
-    several = known.join(reps, "fp").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")) if _repeats(known) else None
-    if several is not None:
-        more = known.join(reps, "fp").select("doc_id", F.col("rep").alias("b")).distinct().join(several.select("doc_id", "a"), "doc_id").where("a <> b")
-        edges = edges.union(more.select("a", "b"))
-    classes = components(edges)
-    named = reps.join(classes, F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    out = points.select("doc_id", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(named, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    found = components(work.links(points, reps))
+    named = reps.join(found, F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    return points, named
 
 
-def _repeats(known: DataFrame) -> bool:
-    counted = known.select("doc_id", "fp").distinct().groupBy("doc_id").count().where("count > 1")
-    return not counted.isEmpty()
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``.
+
+    Null and empty texts and texts without words have no shingles and link with nothing. Texts with the same set are
+    linked. Rows that repeat an id are one document that has the links of all its texts; a null id stays unlinked and
+    has a null class. Other columns are not read.
+    """
+    rows, repeated = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    if not repeated:
+        points, named = classes(rows.select(F.col("_x").alias("doc_id"), "text"))
+        out = points.select("doc_id", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(named, "fp", "left")
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    ids = written(rows.select("doc_id", "_x"), "jaccard-ids")
+    points, named = classes(_once(rows))
+    found = points.select(F.col("doc_id").alias("x"), "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(named, "fp", "left")
+    found = written(found.select("x", "n", F.coalesce("component_id", "x").alias("c")), "jaccard-found")
+    # an id connects the classes of its texts
+    of_id = ids.join(found, F.col("_x") == F.col("x")).select("doc_id", "c").distinct()
+    ends = of_id.groupBy("doc_id").agg(F.min("c").alias("a"))
+    joined = components(of_id.join(ends, "doc_id").select("a", F.col("c").alias("b")))
+    least = of_id.join(joined, F.col("c") == F.col("id")).groupBy(F.col("component_id").alias("k")).agg(F.min("doc_id").alias("least"))
+    label = joined.join(least, F.col("component_id") == F.col("k")).select(F.col("id").alias("c"), "least")
+    labelled = ids.join(found, F.col("_x") == F.col("x")).join(label, "c").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    return labelled.unionByName(found.where("x IS NULL").select(F.col("x").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("x").alias("component_id")))
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """(doc_id, text) of ``keyed`` rows, the key for the id, each key once."""
+    plain = rows.select(F.col("_x").alias("doc_id"), "text")
+    return plain.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(plain.where("doc_id IS NULL"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest id of each group of linked documents; of rows that repeat an id the first by text.
+    """``docs`` with one row of each group of linked texts: of the smallest key (see ``keyed``), the smallest id where ids do not repeat.
 
+    Every text counts by itself: rows that repeat an id are linked only if their texts are, and of rows with one id and one text one stays.
     Rows without an id and without words stay.
     """
-    others = join(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    firsts = kept.join(again, "doc_id", "left_semi").withColumn("_place", place).where("_place = 1")
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(firsts.select(*docs.columns))
+    rows, repeated = keyed(docs)
+    points, named = classes(_once(rows) if repeated else rows.select(F.col("_x").alias("doc_id"), "text"))
+    others = points.where("n > 0").join(named, "fp").where("component_id <> doc_id").select(F.col("doc_id").alias("_x")).distinct()
+    kept = rows.join(others, "_x", "left_anti")
+    if repeated:
+        kept = kept.where("_x IS NOT NULL").dropDuplicates(["_x"]).unionByName(kept.where("_x IS NULL"))
+    return kept.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -74,6 +75,91 @@ def test_against_all_pairs(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def cluster(rng, n, edits):
+    """Near copies of one text with up to ``edits`` changed words each, a chain of drifting copies, and texts that share a passage only."""
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base = [word() for _ in range(90)]
+    rows, drift = [], list(base)
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(len(w))] = word()
+        rows.append(w)
+    for _ in range(n // 4):
+        drift[rng.randrange(len(drift))] = word()
+        rows.append(list(drift))
+    rows += [base[:40] + [word() for _ in range(30)] for _ in range(n // 4)]
+    rng.shuffle(rows)
+    return [(3 * i + 1, " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize("edits, pivots, rounds", [(2, 3, 4), (9, 2, 1), (9, 2, 0)])
+def test_document_pivots(spark, monkeypatch, edits, pivots, rounds):
+    """Crowded regions of near copies: whatever the pivots settle, the classes are those of all pairs."""
+    for name, value in (("REGION", 5), ("BLOCK", 12), ("SLICE", 16), ("PIVOTS", pivots), ("ROUNDS", rounds), ("PROGRESS", 1.0)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = cluster(random.Random(edits), 120, edits)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df).collect()}
+    assert got == brute(rows)
+
+
+def test_pivots_spare_a_hot_group_its_pairs(spark, monkeypatch):
+    """Of a large group of near copies only what no pivot reaches goes to blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 12)
+    rows = cluster(random.Random(2), 200, 2)[:200]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    work = jaccard.Join(df)
+    members = df.selectExpr("1L AS s", "doc_id AS x")
+    labelled, spots, edges = work.pivoted(members)
+    parts = sorted((r["count"] for r in labelled.groupBy("c").count().collect()), reverse=True)
+    assert parts[0] > len(rows) / 2 and spots.count() > 0 and edges.count() > len(rows) / 2
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_texts_made_to_collide_stay_apart(spark):
+    """The Thue-Morse word and its complement share every polynomial hash modulo a power of two."""
+    rows, k = [], 1
+    for size in (8, 9, 16, 60, 64, 65, 1024, 2048):
+        word = thue_morse(size)
+        for w in (word, word.translate(str.maketrans("ab", "ba"))):
+            rows += [(k, w), (k + 1, f"{w} one two three four five")]
+            k += 2
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(i == c for i, c in got.items())
+    assert len({s.tobytes() for s in jaccard.shingle_sets([t for _, t in rows])}) == len(rows)
+
+
+def test_links_are_confirmed_on_words():
+    texts = ["a b c d e f", "a b c d e f", "a b c d e g", None]
+    check = jaccard.Confirmed(texts)
+    assert check(0, 1) and not check(0, 2) and not check(0, 3) and not check(3, 3)
+    same = [np.arange(9, dtype=np.uint64)] * 2  # sets of hashes that are equal by accident
+    every = np.ones(2, bool)
+    assert jaccard.block_links(same, every, every) == [(0, 1)]
+    assert jaccard.block_links(same, every, every, confirm=lambda i, j: False) == []
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aAbBé \t"), max_size=30), max_size=6))
+def test_word_shingles(texts):
+    for t in texts:
+        assert {tuple(x.decode().split(" ")) for x in jaccard.word_shingles(t)} == brute_set(t)
+
+
+def test_one_of_each_loses_no_text(spark):
+    one, two = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
+    rows = [(1, one), (2, one), (2, two), (2, two), (3, two + " x"), (4, "other words"), (4, "more"), (None, one), (None, one), (5, None)]
+    got = sorted((r.doc_id or 0, r.text or "") for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    texts = [t for _, t in got]
+    assert texts.count("other words") == texts.count("more") == 1
+    assert sum(t in (two, two + " x") for t in texts) == 1 and [t for i, t in got if i and t == one] == [one]
+    assert got.count((0, one)) == 2 and (5, "") in got
+
+
 def test_block_links():
     rng = random.Random(5)
     rows = corpus(rng, 150)
