@@ -5,10 +5,12 @@ Every stage takes (spark, docs, sf_dir) and works on all rows that the stage bef
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import jaccard, mixing, pieces, private, quality
-from tessera.llm.common import read, written
+from tessera.llm.common import Scratch, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +51,25 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents; each result but the last is written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages on the documents; each result but the last is written to the shared folder and read again.
+
+    A stage's own tables, and the result of the stage before it, are deleted once its result is written.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, f"stage-{k + 1}")
+        if k + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with Scratch(spark) as scratch:
+            docs = scratch.kept(stage(spark, docs, sf_dir), f"stage-{k + 1}")
+        if before:
+            before.delete()
+        before = scratch
     return docs
 
 
-QUERIES = {"pipeline": run}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"pipeline": run}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
