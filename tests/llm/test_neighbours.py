@@ -55,25 +55,95 @@ def test_dual_traversal_is_exact(limit, monkeypatch):
     near = 1 - limit * limit / 2
     monkeypatch.setattr(neighbours, "SMALL", 30)
     a, b = tree_of(rows[:170]), tree_of(rows[170:])
-    la, lb, _ = neighbours.join(a, b, limit, False)
+    la, lb, _, left = neighbours.join(a, b, limit, False)
+    assert not left
     hit = a.rows @ b.rows.T >= near
     assert (la == hit.sum(axis=1)).all() and (lb == hit.sum(axis=0)).all()
-    own, _, edges = neighbours.join(a, a, limit, True)
+    own, _, edges, left = neighbours.join(a, a, limit, True)
+    assert not left
     hit = a.rows @ a.rows.T >= near
     np.fill_diagonal(hit, False)
     assert (own == hit.sum(axis=1)).all()
     assert all(hit[i, j] for i, j in edges)
 
 
-def test_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 60)
-    monkeypatch.setattr(neighbours, "PIVOTS", 3)
+def test_nodes_stand_for_their_members():
+    """Rows with a reach: what is counted and what stays open together are all links."""
+    rng = np.random.default_rng(8)
+    rows = clustered(rng, 260)
+    order, level = neighbours.planted(rows)
+    rows = rows[order]
+    starts = np.flatnonzero(level <= 3)
+    ends = np.append(starts[1:], len(rows))
+    reach = np.array([neighbours.distances(rows[s:e], rows[s : s + 1]).max() for s, e in zip(starts, ends)]) * (ends - starts > 1)
+    heads = rows[starts]
+    o, lv = neighbours.planted(heads)
+    tree = neighbours.Tree(heads[o], lv, reach[o], (ends - starts)[o])
+    links, _, _, left = neighbours.join(tree, tree, 0.4472135955, True, 0.9)
+    hit = rows @ rows.T >= 0.9
+    np.fill_diagonal(hit, False)
+    total = int((links * tree.weight).sum()) + int(((ends - starts) * (ends - starts - 1)).sum())
+    for i, j in left:
+        p, q = o[i], o[j]
+        total += 2 * int((rows[starts[p] : ends[p]] @ rows[starts[q] : ends[q]].T >= 0.9).sum())
+    assert total == hit.sum()
+
+
+@pytest.mark.parametrize("block, pivots, cut, threshold", [(60, 3, 1 << 14, 0.9), (20, 5, 30, 0.9), (60, 3, 8, 0.97), (30, 4, 16, 0.999)])
+def test_many_blocks(spark, monkeypatch, block, pivots, cut, threshold):
+    for name, value in (("BLOCK", block), ("PIVOTS", pivots), ("SLICE", cut)):
+        monkeypatch.setattr(neighbours, name, value)
     rng = np.random.default_rng(5)
     rows = clustered(rng, 400)
     ids = [int(i) * 7 - 100 for i in rng.permutation(400)]
-    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in zip(ids, rows, strict=True)], "vec_id long, embedding array<double>")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(df).collect()}
-    assert got == brute(ids, rows)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in zip(ids, rows, strict=True)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(df, threshold).collect()}
+    assert got == brute(ids, rows, threshold)
+
+
+def test_visits_reach_every_link():
+    rng = np.random.default_rng(9)
+    rows = clustered(rng, 500)
+    tops = rows[:6]
+    leaves = neighbours.Leaves(tops, {0: rows[10:14], 3: rows[20:23]})
+    leaf, gap, top, far = leaves.place(rows)
+    np.maximum.at(leaves.radius, leaf, gap)
+    np.maximum.at(leaves.top_radius, top, far)
+    i, to = leaves.visits(rows, np.zeros(len(rows)), leaf, 0.4472135955)
+    met = set(zip(i.tolist(), to.tolist(), strict=True))
+    hit = rows @ rows.T >= 0.9
+    for a, b in zip(*np.nonzero(hit), strict=True):
+        if leaf[a] != leaf[b]:
+            assert ((a, leaf[b]) in met) != ((b, leaf[a]) in met) or {(a, leaf[b]), (b, leaf[a])} <= met
+            assert (a, leaf[b]) in met or (b, leaf[a]) in met
+
+
+@pytest.mark.parametrize("size", [600, 3000])
+def test_what_is_sent_grows_with_the_vectors(spark, monkeypatch, size):
+    """Clustered vectors: a node goes home and to few other leaves, and a hot group is few nodes, whatever the number of vectors."""
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(40, 32))
+    rows = centers[rng.integers(0, 40, size)] + rng.normal(size=(size, 32)) * 0.01
+    rows[: size // 3] = centers[0]
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    sent = []
+    plain = neighbours.written
+    monkeypatch.setattr(neighbours, "written", lambda df, name: (lambda t: sent.append((name, t)) or t)(plain(df, name)))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in neighbours.near_duplicates(df).collect()}
+    hit = rows @ rows.T >= 0.9
+    assert all(got[i] == hit[i].sum() - 1 for i in range(size))
+    visits = next(t for name, t in sent if name == "vector-visits").count()
+    assert visits <= 1.5 * size / 3
+
+
+def test_the_threshold_itself_links(spark):
+    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [9.0, 3.0, 3.0, 1.0]), (3, [0.0, 0.0, 0.0, 1.0]), (4, [0.1, 0.3, 0.3, 0.9]), (5, [8.99, 3.0, 3.0, 1.0])]
+    df = spark.createDataFrame(rows[:4], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in neighbours.near_duplicates(df).collect()}
+    assert got[1] == got[2] == 1  # a cosine of exactly 0.9
+    assert neighbours.near_duplicates(spark.createDataFrame([rows[0], rows[4]], df.schema)).agg({"n_links": "sum"}).first()[0] == 0
 
 
 def test_odd_rows(spark):
