@@ -37,6 +37,48 @@ def test_against_rounds_and_limits(spark):
         assert abs(target - taken) <= 55
     assert sum(t for _, t in by.values()) <= 1.5 * sum(sizes.values())
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+    assert len({(r.key, r.place) for r in got}) == len(rows)
+
+
+def test_hot_rows_and_deep_steps(spark, monkeypatch):
+    """A third of the rows equal, without an id; the step in which the budget ends is cut until one row is left in it."""
+    rows = [(None, "a b c", "s")] * 150 + [(None, f"x y{i % 4}", "s") for i in range(60)] + [(i, "w " * (1 + i % 5), "st"[i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = sorted(map(str, mixing.mix(df).drop("place").collect()))
+    assert len(plain) == len(rows)
+    for name, value in (("STRETCH", 7), ("ONE_BY_ONE", 1), ("BUCKETS", 16)):
+        monkeypatch.setattr(mixing, name, value)
+    assert sorted(map(str, mixing.mix(df.repartition(3)).drop("place").collect())) == plain
+    total = sum(len(t.split()) for _, t, _ in rows)
+    taken = sum(r.taken for r in mixing.mix(df).collect())
+    assert 1.5 * total - 6 < taken <= 1.5 * total
+    con = duckdb.connect()
+    documents = df.toPandas()  # noqa: F841
+    documents["doc_id"] = documents["doc_id"].astype("Int64")
+    monkeypatch.undo()
+    con.register("documents", documents)
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:3], r[4])
+    assert sorted(map(key, con.sql(mixing.SQL).fetchall())) == sorted(key(tuple(r)) for r in mixing.mix(df).drop("copies", "key", "place").collect())
+
+
+def test_no_row_stands_for_another(spark):
+    long = "w " * 50_000
+    rows = [(1, "a b", "s", "x"), (1, "c d", "s", "x"), (1, "c d", "s", "y"), (1, "c d", "s", "y"), (1, "c d", "t", "x"), (None, "e f", "s", "p"), (None, "e f", "s", "q"), (2, long, "t", None), (3, None, "s", "x"), (4, "", "s", "x")]
+    rows += [(i, "g h", "u", "z") for i in range(10, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").selectExpr("*", "1 AS copies", "2 AS place", "3 AS size", "4 AS h")
+    copies = [r.copies for r in mixing.mix(df).orderBy("key", "place").collect()]
+    got = mixing.mixed(df)
+    assert got.columns == df.columns and got.count() == sum(copies)
+    every = mixing.mixed(df, share=2.0)
+    seen = {}
+    for r in every.collect():
+        key = (r.doc_id, r.text, r.source, r.lang)
+        seen[key] = seen.get(key, 0) + 1
+    want = {}
+    for r in rows:
+        if (r[1] or "").split():
+            want[r] = want.get(r, 0) + 2  # each source is taken twice, so every row is
+    assert seen == want
 
 
 def test_empty(spark):
