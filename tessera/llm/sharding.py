@@ -17,6 +17,8 @@ from tessera.llm.common import read, written
 #: Buckets of the two-step row numbers: a fixed bound, so their counts may be broadcast.
 BUCKETS = 1 << 14
 ROUNDS = 6
+#: Equal rows that one row is made into at once.
+STRETCH = 1 << 16
 
 
 def sides(total: int) -> tuple[int, int]:
@@ -64,19 +66,27 @@ def permuted(row: Column, total: int, seed: int) -> Column:
     return F.get(F.transform(F.array(first), lambda x: F.when(x < total, x).otherwise(walk(x))), F.lit(0))
 
 
-def row_numbers(df: DataFrame, key: str, tie: list[str]) -> tuple[DataFrame, int]:
-    """``df`` with ``row`` (0, 1, ...) in the order of (hash bucket of key, key, ties), and the row count.
+def row_numbers(groups: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """Groups of equal rows (bucket, n and the columns of ``order``) made into rows with ``row`` (0, 1, ...) in the order of bucket
+    and ``order``, and the row count.
 
-    Counts per bucket are combined map-side and summed over the fixed number of buckets; rows are then
-    numbered inside their bucket. No task sees more than a bucket.
+    Counts per bucket are combined map-side and summed over the fixed number of buckets; groups are then numbered inside
+    their bucket. A group is one row until it is made into its rows, stretch by stretch, so no task sees more than the different
+    rows of a bucket.
     """
-    counts = written(df.groupBy("bucket").agg(F.count("*").alias("n")), "bucket-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    counts = written(groups.groupBy("bucket").agg(F.sum("n").alias("rows")), "bucket-counts")
+    total = counts.agg(F.sum("rows")).first()[0] or 0
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    spot = F.row_number().over(Window.partitionBy("bucket").orderBy(key, *tie))
-    numbered = df.join(F.broadcast(offsets), "bucket").withColumn("row", F.col("offset") + spot - 1)
-    return numbered.drop("bucket", "offset"), total
+    offsets = counts.select("bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = groups.withColumn("first", inside).join(F.broadcast(offsets), "bucket").withColumn("first", F.col("offset") + F.col("first"))
+    large = F.col("n") > STRETCH
+    starts = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(STRETCH).cast("long"))).alias("start")
+    rows = F.explode(F.sequence(F.col("start"), F.least(F.col("start") + STRETCH, F.col("first") + F.col("n")) - 1)).alias("row")
+    small = first.where(~large).select(*order, F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("row"))
+    # the stretches of a large group are dealt over the tasks
+    parts = first.where(large).select(*order, "first", "n", starts).repartition("start")
+    return small.unionByName(parts.select(*order, rows)), total
 
 
 def shard(docs: DataFrame, shards: int = 40, seed: int = 20) -> DataFrame:
@@ -84,20 +94,20 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 20) -> DataFrame:
 
     Columns: doc_id, size (UTF-8 bytes of the text, null: none, plus 16), text_crc32 (unsigned, of the
     UTF-8 bytes; null like empty: 0), law, shard, slot (gapless from 0 in each shard), grown_shard (null:
-    the law is not ``key``), row (the global row number). Other columns of ``docs`` are not read. Null ids
-    are placed by their text. Equal rows are interchangeable: each gets a place of its own. An empty table
-    gives an empty result.
+    the law is not ``key``), row (the global row number). Other columns of ``docs`` are not read. Rows that agree in id, size and
+    checksum are interchangeable: they are counted before the shuffle and each gets a place of its own, so neither a repeated row nor a
+    repeated id gathers in a task. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(
-            F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")), F.lit(BUCKETS)
-        ).alias("bucket"),
     )
-    numbered, total = row_numbers(slim, "doc_id", ["text_crc32", "size"])
+    order = ["doc_id", "text_crc32", "size"]
+    groups = slim.groupBy(*order).agg(F.count("*").alias("n"))
+    groups = groups.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)))
+    numbered, total = row_numbers(groups, order)
     place = permuted(F.col("row"), total, seed)
     return numbered.withColumn("place", place).select(
         "doc_id",
