@@ -5,7 +5,8 @@ holdouts: per stratum and rule, cutoffs are tested from lax to strict with the e
 tail for "this cutoff rejects more than ``risk`` of the good documents"; testing stops at the
 first cutoff that cannot be certified (fixed sequence), and the level is divided by the number
 of strata times rules (Bonferroni). With probability 1 - ``delta`` every rule in every stratum
-then rejects at most ``risk`` of good documents.
+then rejects at most ``risk`` of good documents, and the rules of a stratum together at most as many times
+``risk`` as it has rules: what is promised for the verdict is ``total_risk``.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ RISK = 0.005
 DELTA = 0.05
 
 
+def total_risk(risk: float = RISK, cutoffs: dict = CUTOFFS) -> float:
+    """Share of a stratum's good documents that its rules reject together at most, with probability 1 - DELTA."""
+    return risk * len(cutoffs)
+
+
 def repeated_words(tokens: Column) -> Column:
     """Words that stand in a window of three words found twice or more, the first included.
 
@@ -172,9 +178,9 @@ def stratum(column: str) -> Column:
 
 
 def calibrated(slim: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
-    """Cutoffs per stratum from the labelled rows of ``slim`` (k_doc_id, _st and the counts) that pass the base rule."""
+    """Cutoffs per stratum from the labelled rows of ``slim`` (_id, _st and the counts) that pass the base rule."""
     truth = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    holdout = slim.where(~base_failed()).join(truth, F.col("k_doc_id") == truth["doc_id"])
+    holdout = slim.where(~base_failed()).join(truth, F.col("_id") == truth["doc_id"])
     return thresholds(holdout, "_st", risk, delta)
 
 
@@ -187,11 +193,6 @@ def judged(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     return rows.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & ~caught})
 
 
-def _slim(docs: DataFrame, strata: str, keep: tuple[str, ...]) -> DataFrame:
-    chosen = docs.select("text", F.col(strata).alias("_st"), *[F.col(c).alias(f"k_{c}") for c in keep])
-    return written(features(chosen).drop("text"), "quality-features")
-
-
 def judge(docs: DataFrame, labels: DataFrame, strata: str = "lang", keep: tuple[str, ...] = ("doc_id",), risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The ``keep`` columns, the counts, base_failed and kept for every row of ``docs``.
 
@@ -199,9 +200,9 @@ def judge(docs: DataFrame, labels: DataFrame, strata: str = "lang", keep: tuple[
     without a stratum form one of their own; a stratum without certified cutoffs is judged by the base rule alone.
     Equal rows get equal verdicts. The text is read once; the calibration runs on a slim written table.
     """
-    slim = _slim(docs, strata, keep)
-    rows = judged(slim, calibrated(slim, labels, risk, delta))
-    return rows.select(
+    chosen = docs.select("text", F.col(strata).alias("_st"), F.col("doc_id").alias("_id"), *[F.col(c).alias(f"k_{c}") for c in keep])
+    slim = written(features(chosen).drop("text"), "quality-features")
+    return judged(slim, calibrated(slim, labels, risk, delta)).select(
         *[F.col(f"k_{c}").alias(c) for c in keep],
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
     )
@@ -210,18 +211,42 @@ def judge(docs: DataFrame, labels: DataFrame, strata: str = "lang", keep: tuple[
 def passing(docs: DataFrame, labels: DataFrame, strata: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their own columns.
 
-    The texts are read twice, once for the calibration and once for the verdicts; neither shuffled nor written between,
-    for a copy of them would stay in the shared folder while later stages run.
+    The counts are made once and written beside the rows; the calibration reads the counts alone, the verdicts then the rows.
     """
-    slim = _slim(docs, strata, ("doc_id",))
-    cuts = calibrated(slim, labels, risk, delta)
-    whole = docs.select("text", F.col(strata).alias("_st"), F.struct(*docs.columns).alias("_row"))
-    return judged(features(whole), cuts).where("kept").select("_row.*")
+    whole = docs.select("text", F.col(strata).alias("_st"), F.col("doc_id").alias("_id"), F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
+    rows = written(features(whole), "quality-rows")
+    cuts = calibrated(rows.drop("text", "_row"), labels, risk, delta)
+    return judged(rows, cuts).where("kept").select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def _sql(risk: float = RISK, delta: float = DELTA, cutoffs: dict = CUTOFFS) -> str:
+    """The same with windows and lists. A tail of the binomial is a sum of terms made with the logarithm of the gamma function."""
+    grid = ", ".join(f"('{rule}', {i}, {c!r}::DOUBLE)" for rule, cuts in cutoffs.items() for i, c in enumerate(cuts))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('s' || lang, 'null') AS st, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT rid, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
+t AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM g),
+r AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM t, range(3) o(k) WHERE n > 1 GROUP BY rid),
+f AS (SELECT w.rid, doc_id, st, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines FROM w LEFT JOIN r USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+v AS (SELECT rid, rule, value FROM b, LATERAL (VALUES ('symbols', n_symbols / greatest(n_words, 1)), ('repeats', n_repeat_words / greatest(n_words, 1)), ('lines', n_dup_lines / greatest(n_lines, 1))) x(rule, value)),
+q AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY 1),
+h AS (SELECT rid, st, quality FROM b JOIN q USING (doc_id) WHERE NOT base_failed),
+n AS (SELECT st, count(*) FILTER (quality = 1) AS n FROM h GROUP BY 1),
+c AS (SELECT st, x.rule, i, cut, count(*) FILTER (quality = 1 AND value > cut) AS k, count(*) FILTER (quality = 0 AND value > cut) AS bad FROM h JOIN v USING (rid) JOIN (VALUES {grid}) x(rule, i, cut) ON x.rule = v.rule GROUP BY 1, 2, 3, 4),
+p AS (SELECT c.*, k <= n * {risk} AND (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk}))) FROM range(k + 1) y(j)) <= {delta}::DOUBLE / (greatest(1, (SELECT count(*) FROM n)) * {len(cutoffs)}) AS ok FROM c JOIN n USING (st)),
+e AS (SELECT *, bool_and(ok) OVER (PARTITION BY st, rule ORDER BY i) AS certified FROM p),
+z AS (SELECT st, rule, arg_max(cut, bad * 1000 - i) AS cut FROM e WHERE certified AND bad > 0 GROUP BY 1, 2),
+u AS (SELECT rid, bool_or(value > cut) AS caught FROM b JOIN v USING (rid) JOIN z ON z.st = b.st AND z.rule = v.rule GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(caught, false) AS kept FROM b LEFT JOIN u USING (rid)
+"""
+
+
 QUERIES = {"op8_quality_rules": query}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_quality_rules": _sql()}

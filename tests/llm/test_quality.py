@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tessera.llm import quality
@@ -55,3 +56,62 @@ def test_verdicts(spark):
     assert all(few.values())  # too few labels to certify any cutoff
     assert quality.judge(docs.limit(0), labels).collect() == []
     assert quality.judge(docs.where("doc_id = 1"), labels.limit(0)).first().kept
+
+
+def brute_cutoffs(rows, labels):
+    """Cutoffs by stratum and rule, tested one after the other with sums of binomial terms; rows: id, stratum, counts of ``brute`` and lines."""
+    value = {
+        "symbols": lambda c: c[2] / max(c[0], 1), "repeats": lambda c: c[4] / max(c[0], 1), "lines": lambda c: c[3] / max(c[5], 1),
+    }
+    held = [(st, c, labels[i]) for i, st, c in rows if i in labels and c[0] >= 50 and 2 * c[4] <= c[0]]
+    strata = {st for st, _, _ in held}
+    level, out = quality.DELTA / (len(strata) * len(quality.CUTOFFS)), {}
+    for st in strata:
+        n = sum(q for s, _, q in held if s == st)
+        for rule, cuts in quality.CUTOFFS.items():
+            best = None
+            for cut in cuts:
+                over = [q for s, c, q in held if s == st and value[rule](c) > cut]
+                k, bad = sum(over), len(over) - sum(over)
+                tail = sum(math.comb(n, j) * quality.RISK**j * (1 - quality.RISK) ** (n - j) for j in range(k + 1)) if k <= n * quality.RISK else 1
+                if tail > level:
+                    break
+                if bad and (best is None or bad > best[0]):
+                    best = (bad, cut)
+            if best:
+                out[st, rule] = best[1]
+    return out, value
+
+
+def test_cutoffs_and_verdicts_on_the_table(spark):
+    """The larger table has a stratum with enough labels to certify cutoffs."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
+    docs = read("documents").collect()
+    labels = {r.doc_id: r.quality for r in read("labels").where("quality IN (0, 1)").collect()}
+    rows = [(r.doc_id, r.lang, (*brute(r.text), len([x for x in (r.text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]))) for r in docs]
+    cutoffs, value = brute_cutoffs(rows, labels)
+    assert cutoffs
+    got = {r.doc_id: r for r in quality.query(spark, "/root/testdata/sf0.1").collect()}
+    assert len(got) == len(rows)
+    for i, st, c in rows:
+        failed = c[0] < 50 or 2 * c[4] > c[0]
+        caught = any(s == st and value[rule](c) > cut for (s, rule), cut in cutoffs.items())
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == (*c[:5], failed, not failed and not caught)
+    for st in {s for s, _ in cutoffs}:
+        good = [got[i] for i, s, _ in rows if s == st and labels.get(i) == 1 and not got[i].base_failed]
+        assert sum(not r.kept for r in good) <= quality.total_risk() * len(good)
+
+
+def test_sql_and_repeated_rows(spark, sf_dir):
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    want = sorted(con.sql(quality.ORACLE_SQL["op8_quality_rules"]).fetchall())
+    assert sorted(map(tuple, quality.query(spark, sf_dir).collect())) == want
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    kept = sorted(r.doc_id for r in quality.passing(docs, labels).collect())
+    assert kept == [w[0] for w in want if w[-1]]
+    again = docs.unionByName(docs.where("doc_id % 3 = 0"))
+    twice = sorted(r.doc_id for r in quality.passing(again, labels).collect())
+    assert twice == sorted(kept + [i for i in kept if i % 3 == 0])  # too few labels here for the repetition to matter
