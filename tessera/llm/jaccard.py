@@ -358,8 +358,8 @@ class Join:
 
         return written(rows.mapInArrow(run, "p long, x long, d double, hit boolean"), "jaccard-distances")
 
-    def pivoted(self, members: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-        """Rounds of document pivots over regions (s, x): (members with their part c, distances (s, p, x, d), edges).
+    def pivoted(self, members: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None, DataFrame | None]:
+        """Rounds of document pivots over regions (s, x): (members with their part c, (pivots (s, p), distances (p, x, d)), edges).
 
         In each round every region with more than BLOCK open members chooses pivots among them, as documents with the smallest of
         several hashes, and all of its members are measured against these. Members are open if they are not of the largest
@@ -384,11 +384,7 @@ class Join:
             classes = components(edges)
             labelled = members.join(classes, F.col("x") == F.col("id"), "left").select("s", "x", F.coalesce("component_id", "x").alias("c"))
             labelled = written(labelled, "jaccard-parts")
-        if chosen is None:
-            return labelled, None, None
-        own = chosen.distinct().select("s", "p", F.col("p").alias("x"), F.lit(0.0).alias("d"))
-        spots = members.join(chosen.distinct(), "s").join(measured.groupBy("p", "x").agg(F.max("d").alias("d")), ["p", "x"]).select("s", "p", "x", "d")
-        return labelled, written(spots.unionByName(own), "jaccard-spots"), edges
+        return labelled, None if chosen is None else (chosen.distinct(), measured.groupBy("p", "x").agg(F.max("d").alias("d"))), edges
 
     def crowded(self, members: DataFrame, points: DataFrame) -> DataFrame:
         """Links inside regions that stayed large: (s, x) rows.
@@ -398,19 +394,26 @@ class Join:
         pass over sizes, parts, distances and lists of regions finds the documents that a block needs, and only their texts are sent.
         """
         members = written(members.distinct(), "jaccard-crowded")
-        labelled, spots, edges = self.pivoted(members)
+        labelled, pivots, edges = self.pivoted(members)
         lists = members.groupBy("x").agg(F.array_sort(F.collect_set("s")).alias("all"))
         sizes = points.groupBy(F.col("doc_id").alias("x")).agg(F.max("n").alias("n"))
         parts = labelled.groupBy("s", "c").count()
-        tops = parts.groupBy("s").agg(F.max_by("c", F.struct("count", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-        rows = labelled.join(tops.select("s", "top"), "s").withColumn("open", F.col("c") != F.col("top")).drop("top")
-        if spots is None:
-            rows = rows.withColumns({"ds": F.array().cast("array<struct<p:bigint,d:double>>"), "h": F.lit(0).cast("long")})
+        tops = parts.groupBy("s").agg(F.max_by("c", F.struct("count", "c")).alias("top"), (F.sum("count") - F.max("count")).alias("left")).where("left > 0")
+        rows = labelled.join(tops, "s").withColumn("open", F.col("c") != F.col("top")).drop("top")
+        # what a member brings is joined before it is copied
+        rows = rows.join(lists, "x").join(sizes, "x").withColumn("before", F.filter("all", lambda t: t < F.col("s"))).drop("all")
+        none = F.array().cast("array<struct<p:bigint,d:double>>")
+        if pivots is None:
+            rows = rows.withColumns({"ds": none, "h": F.lit(0).cast("long")})
         else:
+            chosen, measured = pivots
+            own = chosen.select("s", F.col("p").alias("x"), "p", F.lit(0.0).alias("d"))
+            spots = rows.select("s", "x").join(chosen, "s").join(measured, ["p", "x"]).select("s", "x", "p", "d").unionByName(own)
             ds = spots.groupBy("s", "x").agg(F.array_sort(F.collect_list(F.struct("p", "d"))).alias("ds"), F.min_by("p", F.struct("d", "p")).alias("h"))
-            rows = rows.join(ds, ["s", "x"], "left")
-            rows = rows.withColumns({"ds": F.coalesce("ds", F.array().cast("array<struct<p:bigint,d:double>>")), "h": F.coalesce("h", F.lit(0).cast("long"))})
-        rows = written(rows, "jaccard-rows")
+            # few open members need no regions of their own: the windows do
+            home = F.when(F.col("left") > BLOCK, F.col("h"))
+            rows = rows.join(ds, ["s", "x"], "left").withColumns({"ds": F.coalesce("ds", none), "h": F.coalesce(home, F.lit(0).cast("long"))})
+        rows = written(rows.drop("left"), "jaccard-rows")
         here = F.coalesce(F.array_max(F.transform(F.filter("ds", lambda q: q["p"] == F.col("h")), lambda q: q["d"])), F.lit(0.0))
         cells = rows.where("open").groupBy("s", "h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.max(here).alias("far"), F.min(here).alias("near"))
         bound, slack = 1 - float(THRESHOLD), 1e-9
@@ -424,9 +427,8 @@ class Join:
         core = rows.where("open").join(cells.select("s", "h", "nb"), ["s", "h"]).join(counted, ["s", "h"])
         core = core.withColumn("i", F.pmod(F.xxhash64("x"), "nb").cast("int")).withColumn("j", spread_over("nv")).withColumn("core", F.lit(True))
         guests = guests.join(counted, ["s", "h"]).withColumn("j", F.pmod(F.xxhash64("x"), "nv").cast("int")).withColumn("i", spread_over("nb")).withColumn("core", F.lit(False))
-        columns = ["s", "h", "i", "j", "core", "x", "c", "open", "ds"]
-        tasks = core.select(*columns).unionByName(guests.select(*columns)).join(lists, "x").join(sizes, "x")
-        tasks = tasks.select(*columns, "n", F.filter("all", lambda t: t < F.col("s")).alias("before"))
+        columns = ["s", "h", "i", "j", "core", "x", "c", "open", "ds", "n", "before"]
+        tasks = core.select(*columns).unionByName(guests.select(*columns))
 
         def needed(key, table):
             x, n, part = (table.column(c).to_numpy() for c in ("x", "n", "c"))

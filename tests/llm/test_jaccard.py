@@ -111,9 +111,9 @@ def test_pivots_spare_a_hot_group_its_pairs(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     work = jaccard.Join(df)
     members = df.selectExpr("1L AS s", "doc_id AS x")
-    labelled, spots, edges = work.pivoted(members)
+    labelled, (pivots, measured), edges = work.pivoted(members)
     parts = sorted((r["count"] for r in labelled.groupBy("c").count().collect()), reverse=True)
-    assert parts[0] > len(rows) / 2 and spots.count() > 0 and edges.count() > len(rows) / 2
+    assert parts[0] > len(rows) / 2 and pivots.count() <= jaccard.PIVOTS * jaccard.ROUNDS and measured.count() <= len(rows) * pivots.count() and edges.count() > len(rows) / 2
 
 
 def thue_morse(n):
