@@ -38,7 +38,7 @@ REGION = 32
 #: Sets in a block of the last level; crowded regions with more open members take document pivots.
 BLOCK = 1024
 #: Document pivots of a region and round, and rounds at most; what is open then is joined in blocks.
-PIVOTS, ROUNDS = 6, 4
+PIVOTS, ROUNDS = 4, 4
 #: Another round is worth while if the one before left at most this share of the open members.
 PROGRESS = 0.8
 #: Members that one task compares with a pivot.
@@ -362,7 +362,8 @@ class Join:
         """Rounds of document pivots over regions (s, x): (members with their part c, (pivots (s, p), distances (p, x, d)), edges).
 
         In each round every region with more than BLOCK open members chooses pivots among them, as documents with the smallest of
-        several hashes, and all of its members are measured against these. Members are open if they are not of the largest
+        several hashes, from the second round on half of them so and the two members that are most central by the distances known; its
+        members are measured against the pivots of the first such region that they are in. Members are open if they are not of the largest
         connected part of their region."""
         labelled, measured, edges, chosen = members.withColumn("c", F.col("x")), None, None, None
         open_before = None
@@ -374,11 +375,18 @@ class Join:
             if not still or open_before is not None and still > PROGRESS * open_before:
                 break
             open_before = still
-            free = labelled.join(tops, "s").where("c <> top")
-            picks = free.groupBy("s").agg(F.array_distinct(F.array(*[F.min_by("x", F.xxhash64("x", F.lit(k))) for k in range(PIVOTS)])).alias("ps"))
-            picks = written(picks.select("s", F.explode("ps").alias("p")), "jaccard-pivots")
+            inside = written(labelled.join(tops, "s").select("s", "x", (F.col("c") != F.col("top")).alias("free")), "jaccard-inside")
+            picks = inside.where("free").groupBy("s").agg(F.array(*[F.min_by("x", F.xxhash64("x", F.lit(k))) for k in range(PIVOTS)]).alias("ps"))
+            if measured is not None:
+                # what lies near to the pivots so far is central, as the text that the others were made of
+                middle = measured.groupBy("x").agg(F.avg("d").alias("mean"), F.max("d").alias("far"))
+                central = inside.join(middle, "x").groupBy("s").agg(F.array(F.min_by("x", F.struct("mean", "x")), F.min_by("x", F.struct("far", "x"))).alias("cs"))
+                picks = picks.join(central, "s", "left").select("s", F.concat(F.coalesce("cs", F.array().cast("array<bigint>")), F.slice("ps", 1, PIVOTS - PIVOTS // 2)).alias("ps"))
+            picks = written(picks.select("s", F.explode(F.array_distinct("ps")).alias("p")), "jaccard-pivots")
             chosen = picks if chosen is None else chosen.unionByName(picks)
-            new = self.measured(members.join(picks, "s").select("p", "x"))
+            # a member is measured against the pivots of one of its regions, not of each: regions of a group have much the same
+            home = inside.groupBy("x").agg(F.min("s").alias("s"))
+            new = self.measured(home.join(picks, "s").select("p", "x"))
             measured = new if measured is None else measured.unionByName(new)
             edges = measured.where("hit").select(F.col("p").alias("a"), F.col("x").alias("b"))
             classes = components(edges)
@@ -407,21 +415,24 @@ class Join:
             rows = rows.withColumns({"ds": none, "h": F.lit(0).cast("long")})
         else:
             chosen, measured = pivots
-            own = chosen.select("s", F.col("p").alias("x"), "p", F.lit(0.0).alias("d"))
-            spots = rows.select("s", "x").join(chosen, "s").join(measured, ["p", "x"]).select("s", "x", "p", "d").unionByName(own)
-            ds = spots.groupBy("s", "x").agg(F.array_sort(F.collect_list(F.struct("p", "d"))).alias("ds"), F.min_by("p", F.struct("d", "p")).alias("h"))
+            near = measured.select("x", "p", "d").unionByName(chosen.select(F.col("p").alias("x"), "p", F.lit(0.0).alias("d")).distinct())
+            near = near.groupBy("x").agg(F.collect_list(F.struct("p", "d")).alias("all_ds"))
+            own = chosen.groupBy("s").agg(F.collect_set("p").alias("ps"))
+            rows = rows.join(near, "x", "left").join(own, "s", "left")
+            ds = F.array_sort(F.filter(F.coalesce("all_ds", none), lambda q: F.array_contains(F.coalesce("ps", F.array().cast("array<bigint>")), q["p"])))
+            rows = rows.withColumn("ds", ds).drop("all_ds", "ps")
             # few open members need no regions of their own: the windows do
-            home = F.when(F.col("left") > BLOCK, F.col("h"))
-            rows = rows.join(ds, ["s", "x"], "left").withColumns({"ds": F.coalesce("ds", none), "h": F.coalesce(home, F.lit(0).cast("long"))})
+            home = F.when(F.col("left") > BLOCK, F.array_min(F.transform("ds", lambda q: F.struct(q["d"].alias("d"), q["p"].alias("p"))))["p"])
+            rows = rows.withColumn("h", F.coalesce(home, F.lit(0).cast("long")))
         rows = written(rows.drop("left"), "jaccard-rows")
-        here = F.coalesce(F.array_max(F.transform(F.filter("ds", lambda q: q["p"] == F.col("h")), lambda q: q["d"])), F.lit(0.0))
-        cells = rows.where("open").groupBy("s", "h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.max(here).alias("far"), F.min(here).alias("near"))
+        to_cell = F.array_max(F.transform(F.filter("ds", lambda q: q["p"] == F.col("h")), lambda q: q["d"]))
+        cells = rows.where("open").groupBy("s", "h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.max(to_cell).alias("far"), F.min(to_cell).alias("near"))
         bound, slack = 1 - float(THRESHOLD), 1e-9
-        # visitors: members that a core member may be linked with, by the distances to the cell's pivot and to their own nearest one
-        guests = rows.drop("h").join(cells, "s")
-        there = F.coalesce(F.array_max(F.transform(F.filter("ds", lambda q: q["p"] == F.col("h")), lambda q: q["d"])), F.lit(0.0))
-        nearest = F.coalesce(F.array_min(F.transform("ds", lambda q: q["d"])), F.lit(0.0))
-        guests = guests.where((there <= F.col("far") + bound + slack) & (there >= F.col("near") - bound - slack) & (there <= nearest + 2 * bound + slack))
+        # visitors: members that a core member may be linked with, by their distance to the cell's pivot; where it is not known, nothing
+        # is ruled out
+        guests = rows.drop("h").join(cells, "s").withColumn("there", to_cell)
+        apart = (F.col("there") > F.col("far") + bound + slack) | (F.col("there") < F.col("near") - bound - slack)
+        guests = guests.where(~F.coalesce(apart, F.lit(False))).drop("there")
         counted = guests.groupBy("s", "h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nv"))
         spread_over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         core = rows.where("open").join(cells.select("s", "h", "nb"), ["s", "h"]).join(counted, ["s", "h"])
