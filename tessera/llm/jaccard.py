@@ -53,6 +53,8 @@ TOGETHER = 512
 STRIP_ROWS, STRIP_SHINGLES, STRIP_CELLS = 128, 1 << 16, 1 << 22
 #: Bytes of texts that are hashed at once, and of words that are hashed in lanes of eight; longer ones take blake2b.
 SEGMENT, LANES = 1 << 21, 64
+#: Shingles that are kept as words while links are confirmed, but for those of the pair itself.
+HELD_SHINGLES = 1 << 15
 #: Bits of the parity sketch: each differing shingle flips one, so differing bits bound the difference from below.
 BITS = 1024
 
@@ -97,16 +99,18 @@ def word_shingles(text: str | None, words: int = WORDS) -> set[bytes]:
 
 
 class Confirmed:
-    """Decides pairs of texts on their words; the sets used last are kept."""
+    """Decides pairs of texts on their words; sets are kept while they hold few shingles together."""
 
     def __init__(self, texts: list[str | None]):
-        self.texts, self.held = texts, {}
+        self.texts, self.held, self.size = texts, {}, 0
 
     def shingles(self, i: int) -> set[bytes]:
         if i not in self.held:
-            if len(self.held) > 64:
+            if self.size > HELD_SHINGLES:
                 self.held.clear()
+                self.size = 0
             self.held[i] = word_shingles(self.texts[i])
+            self.size += len(self.held[i])
         return self.held[i]
 
     def __call__(self, i: int, j: int) -> bool:
