@@ -474,7 +474,8 @@ class Join:
             task = ":".join(str(k.as_py()) for k in key)
             return pa.table({"task": pa.array([task] * len(picked), pa.string()), "core": pa.array(is_core[picked]), "x": pa.array(x[picked], pa.int64()), "c": pa.array(part[picked], pa.int64())})
 
-        wanted = tasks.groupBy("s", "h", "i", "j").applyInArrow(needed, "task string, core boolean, x long, c long")
+        # dealt by block: by region alone, all blocks of a crowded one would meet in one task
+        wanted = tasks.repartition("s", "h", "i", "j").groupBy("s", "h", "i", "j").applyInArrow(needed, "task string, core boolean, x long, c long")
         wanted = wanted.groupBy("task", "x").agg(F.max("core").alias("core"), F.min("core").alias("only"), F.min("c").alias("c"))
         sent = self.fetched(wanted, "x").select("task", "core", "only", "x", "c", "text")
 
