@@ -6,7 +6,9 @@ Tiles are made by exploding two sequences per image, so every tile is a row of i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import planning as P
@@ -18,24 +20,34 @@ c = F.col
 TILE = 256
 
 
-def overlapping(images: DataFrame, tile: int, overlap: int = P.OVERLAP) -> DataFrame:
-    """One row per tile of images (id, w, h): tile_no in row-major order, x, y, tw, th. An image that fits is one tile."""
+def dealt(images: DataFrame) -> DataFrame:
+    """Images dealt over tasks before they are cut. A table of images is so small that one task may read it, and tiles stay where their
+    image is."""
+    return images.repartition(max(32, 4 * images.sparkSession.sparkContext.defaultParallelism), "id")
+
+
+def overlapping(images: DataFrame, tile: int, overlap: int = P.OVERLAP, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per tile of images (id, w, h): tile_no in row-major order, x, y, tw, th. An image that fits is one tile.
+
+    ``keep``: columns of the image that its tiles have too, so that they need not be joined with it."""
     t = F.lit(tile)
     fits = (c("w") <= tile) & (c("h") <= tile)
     starts = lambda n: F.when(fits, F.array(F.lit(0))).otherwise(P.axis_starts(c(n), t, overlap))
-    rows = images.select("id", "w", "h", F.posexplode(starts("h")).alias("row", "y"), starts("w").alias("xs"))
-    cells = rows.select("id", "w", "h", "row", "y", F.size("xs").alias("cols"), F.posexplode("xs").alias("col", "x"))
+    whole = dict.fromkeys(("id", "w", "h", *keep))
+    rows = images.select(*whole, F.posexplode(starts("h")).alias("row", "y"), starts("w").alias("xs"))
+    cells = rows.select(*whole, "row", "y", F.size("xs").alias("cols"), F.posexplode("xs").alias("col", "x"))
     return cells.select(
         "id", (c("row") * c("cols") + c("col")).alias("tile_no"), "x", "y",
-        F.least(F.lit(tile), c("w") - c("x")).cast("int").alias("tw"), F.least(F.lit(tile), c("h") - c("y")).cast("int").alias("th"),
+        F.least(F.lit(tile), c("w") - c("x")).cast("int").alias("tw"), F.least(F.lit(tile), c("h") - c("y")).cast("int").alias("th"), *keep,
     )
 
 
-def grid(images: DataFrame, tile: int = TILE) -> DataFrame:
-    """Tiles without overlap: band, col, x, y, tw, th."""
-    rows = images.select("id", "w", "h", F.posexplode(F.sequence(F.lit(0), c("h") - 1, F.lit(tile))).alias("band", "y"))
-    cells = rows.select("id", "w", "h", "band", "y", F.posexplode(F.sequence(F.lit(0), c("w") - 1, F.lit(tile))).alias("col", "x"))
-    return cells.select("id", "band", "col", "x", "y", F.least(F.lit(tile), c("w") - c("x")).cast("int").alias("tw"), F.least(F.lit(tile), c("h") - c("y")).cast("int").alias("th"))
+def grid(images: DataFrame, tile: int = TILE, keep: Sequence[str] = ()) -> DataFrame:
+    """Tiles without overlap: band, col, x, y, tw, th, and the columns of the image in ``keep``."""
+    whole = dict.fromkeys(("id", "w", "h", *keep))
+    rows = images.select(*whole, F.posexplode(F.sequence(F.lit(0), c("h") - 1, F.lit(tile))).alias("band", "y"))
+    cells = rows.select(*whole, "band", "y", F.posexplode(F.sequence(F.lit(0), c("w") - 1, F.lit(tile))).alias("col", "x"))
+    return cells.select("id", "band", "col", "x", "y", F.least(F.lit(tile), c("w") - c("x")).cast("int").alias("tw"), F.least(F.lit(tile), c("h") - c("y")).cast("int").alias("th"), *keep)
 
 
 def tile_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,17 +122,24 @@ def tile_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("id", "px", "py", F.floor(c("p.totals") / F.greatest(c("p.counts"), F.lit(1))).cast("int").alias("v"), c("p.counts").alias("n"))
 
 
+def parts_met(length: Column, part: Column, n: Column, tile: int = TILE) -> tuple[Column, Column]:
+    """Of an axis of ``length`` that is cut into parts and into tiles: how many tiles the n-th part meets, and its length. Tiles lie one
+    after the other from 0, so integer division gives the first and the last one."""
+    start, end = n * part, F.least((n + 1) * part, length)
+    return F.floor((end - 1) / tile) - F.floor(start / tile) + 1, end - start
+
+
 def subcanvas_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """4x4 sub-canvases and the grid tiles that overlap them. The range join is an equi join: a tile is listed under every
-    sub-canvas its corners span, which integer division gives."""
-    j = jobs(spark, sf_dir).select("id", "w", "h", F.ceil(c("w") / 4).cast("int").alias("sw"), F.ceil(c("h") / 4).cast("int").alias("sh"))
-    g = grid(j).join(j, "id")
-    part = lambda a, b: F.least(F.lit(3), F.floor(a / b).cast("int"))
-    g = g.select("*", F.explode(F.sequence(part(c("x"), c("sw")), part(c("x") + c("tw") - 1, c("sw")))).alias("sx"))
-    g = g.select("*", F.explode(F.sequence(part(c("y"), c("sh")), part(c("y") + c("th") - 1, c("sh")))).alias("sy"))
-    over = lambda a, n, s, z: F.least(a + n, (s + 1) * z) - F.greatest(a, s * z)
-    area = over(c("x"), c("tw"), c("sx"), c("sw")).cast("long") * over(c("y"), c("th"), c("sy"), c("sh"))
-    return g.groupBy("id", "sx", "sy").agg(F.count("*").alias("tiles"), F.sum(area).alias("pixels"))
+    """4x4 sub-canvases, the grid tiles that overlap them, and the pixels they share. Tiles and sub-canvases are both products of their
+    axes, so the range join is done axis by axis and no tile is made, shuffled or joined. Equal ids meet each other, as a join by id
+    has it."""
+    j = jobs(spark, sf_dir).where("w > 0 AND h > 0").select("id", "w", "h", F.ceil(c("w") / 4).cast("int").alias("sw"), F.ceil(c("h") / 4).cast("int").alias("sh"))
+    j = dealt(j).groupBy("id", "w", "h", "sw", "sh").agg(F.count("*").alias("copies"))
+    four = F.sequence(F.lit(0), F.lit(3))
+    places = j.select("*", F.explode(four).alias("sx")).select("*", F.explode(four).alias("sy"))
+    (columns, width), (rows, height) = parts_met(c("w"), c("sw"), c("sx")), parts_met(c("h"), c("sh"), c("sy"))
+    met, times = places.where((width > 0) & (height > 0)), c("copies") * c("copies")
+    return met.select("id", "sx", "sy", (columns * rows * times).alias("tiles"), (width.cast("long") * height * times).alias("pixels"))
 
 
 def region_read(spark: SparkSession, sf_dir: str) -> DataFrame:
