@@ -88,17 +88,18 @@ def _small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).select("id", (c("w") % 7 + 3).alias("w"), (c("h") % 7 + 3).alias("h"))
 
 
-def _tile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the tiles of small images: id, w, tile_no, x, py and the values of the line."""
-    small = _small(spark, sf_dir)
-    t = owned(overlapping(small, 4, 2).join(small, "id"), 4, 2)
+def _tile_lines(small: DataFrame) -> DataFrame:
+    """Lines of the tiles of small images: id, w, tile_no, x, py and the values of the line. An image of unknown size is one tile."""
+    sized = small.select("id", *(F.coalesce(x, F.lit(4)).alias(x) for x in ("w", "h"))).where("w > 0 AND h > 0")
+    t = owned(overlapping(sized, 4, 2, ("w", "h")), 4, 2)
     lines = t.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), c("th") - 1), lambda dy: F.transform(F.sequence(F.lit(0), c("tw") - 1), lambda dx: (c("tile_no") * 37 + dx * 11 + dy * 5) % 256))).alias("dy", "line"))
     return lines.withColumn("py", c("y") + c("dy"))
 
 
 def tile_last_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles painted in order: per pixel the last one stays. Each tile is cut to what it owns, so nothing is shuffled by pixel."""
-    lines = _tile_lines(spark, sf_dir).where("dy < own_h")
+    """Tiles painted in order: per pixel the last one stays. Each tile is cut to what it owns, so nothing is shuffled by pixel. Images of
+    one id are the same and painted once."""
+    lines = _tile_lines(dealt(_small(spark, sf_dir)).distinct()).where("dy < own_h")
     cells = lines.select("id", "x", "py", F.posexplode(F.slice("line", 1, c("own_w"))).alias("dx", "v"))
     return cells.select("id", (c("x") + c("dx")).alias("px"), "py", c("v").cast("int").alias("v"))
 
@@ -118,7 +119,7 @@ def blended_lines(lines: DataFrame) -> DataFrame:
 
 def tile_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping tiles blended: sum and count per pixel, divided as integers."""
-    b = blended_lines(_tile_lines(spark, sf_dir)).select("id", "py", F.posexplode(F.arrays_zip("totals", "counts")).alias("px", "p"))
+    b = blended_lines(_tile_lines(_small(spark, sf_dir))).select("id", "py", F.posexplode(F.arrays_zip("totals", "counts")).alias("px", "p"))
     return b.select("id", "px", "py", F.floor(c("p.totals") / F.greatest(c("p.counts"), F.lit(1))).cast("int").alias("v"), c("p.counts").alias("n"))
 
 

@@ -24,9 +24,17 @@ def check(spark, folder, name):
     want = con.sql(registry.oracle_sql()[name])
     columns = want.columns
     assert sorted(df.columns) == sorted(columns)
-    assert sorted(map(tuple, df.select(*(f"`{x}`" for x in columns)).collect())) == sorted(want.fetchall())
+    assert sorted(map(tuple, df.select(*(f"`{x}`" for x in columns)).collect()), key=repr) == sorted(want.fetchall(), key=repr)
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_subcanvas_overlap(spark, parts):
     check(spark, parts, "subcanvas_overlap")
+
+
+def test_tile_last_writer(spark, parts):
+    check(spark, parts, "tile_last_writer")
+
+
+def test_tile_blend(spark, parts):
+    check(spark, parts, "tile_blend")
