@@ -151,9 +151,14 @@ def region_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tile_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Padded read windows clamped to the image, aligned sizes, and where the result is written at the engine's scale."""
-    j = jobs(spark, sf_dir).select("id", "w", "h", "base", R.tile_padding(c("base"), F.lit(0), F.lit(0)).alias("pad"))
-    g = grid(j, 192).join(j, "id")
+    """Padded read windows clamped to the image, aligned sizes, and where the result is written at the engine's scale.
+
+    Tiles carry their image's columns. Equal ids meet each other, as a join of tiles with their images by id has it."""
+    j = dealt(jobs(spark, sf_dir).where("w > 0 AND h > 0").select("id", "w", "h", "base")).groupBy("id", "w", "h", "base").agg(F.count("*").alias("copies"))
+    j = j.withColumn("pad", R.tile_padding(c("base"), F.lit(0), F.lit(0)))
+    for _ in range(2):
+        j = j.select("*", F.explode(F.sequence(F.lit(1).cast("long"), c("copies"))).alias("copy")).drop("copy")
+    g = grid(j, 192, ("w", "h", "base", "pad"))
     left, top = F.greatest(F.lit(0), c("x") - c("pad")), F.greatest(F.lit(0), c("y") - c("pad"))
     right, bottom = F.least(c("w"), c("x") + c("tw") + c("pad")), F.least(c("h"), c("y") + c("th") + c("pad"))
     return g.select(

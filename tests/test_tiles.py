@@ -38,3 +38,7 @@ def test_tile_last_writer(spark, parts):
 
 def test_tile_blend(spark, parts):
     check(spark, parts, "tile_blend")
+
+
+def test_tile_windows(spark, parts):
+    check(spark, parts, "tile_windows")
