@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from tessera.operators.tiles import overlapping, owned
+from tessera.operators.tiles import dealt, overlapping, owned
 from tessera.plans.standin import JOBS, jobs
 
 PAD = 18
+#: Output pixels of tiles that a worker gathers before it hands them on.
+HELD = 1 << 22
 
 
 class Engine(Protocol):
@@ -36,7 +38,12 @@ class Nearest:
         self.scale = scale
 
     def upscale(self, pixels: np.ndarray) -> np.ndarray:
-        return pixels.repeat(self.scale, axis=0).repeat(self.scale, axis=1)
+        n, (h, w, *channels) = self.scale, pixels.shape
+        out = np.empty((h, n, w, n, *channels), pixels.dtype)
+        for i in range(n):
+            out[:, 0, :, i] = pixels
+        out[:, 1:] = out[:, :1]
+        return out.reshape(h * n, w * n, *channels)
 
 
 FACTORIES: dict[str, Callable[[int], Engine]] = {"nearest": Nearest}
@@ -120,17 +127,19 @@ def pixels_of(row: dict) -> np.ndarray:
     return np.array(row["pixels"], int).reshape(row["th"] + 2 * PAD, row["tw"] + 2 * PAD, 1)
 
 
-def upscaled(tiles: DataFrame, name: str = "nearest", read: Callable[[dict], np.ndarray] = pixels_of) -> DataFrame:
+def upscaled(tiles: DataFrame, name: str = "nearest", read: Callable[[dict], np.ndarray] = pixels_of, pixels: bool = True) -> DataFrame:
     """Tiles (id, tile_no, x, y, tw, th, own_w, own_h, base, chain and what ``read`` needs) through the engine, chained as often as
     planned: id, tile_no, x, y, w, h, pixels, total. ``read`` gives a tile with a border of PAD. A tile keeps what it owns (see
-    tiles.owned), so the results of an image do not overlap. A tile that fails has an error and no pixels."""
+    tiles.owned), so the results of an image do not overlap. A tile that fails has an error and no pixels. Without ``pixels`` that column is null, for
+    those who read the totals: a worker then holds one tile's pixels at a time, and else up to HELD of them."""
     schema = pa.schema([("id", pa.int64()), *((n, pa.int32()) for n in ("tile_no", "x", "y", "w", "h")), ("pixels", pa.list_(pa.int32())), ("total", pa.int64()), ("error", pa.string())])
+    table = lambda out: pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, held = [], 0
             for t in batch.to_pylist():
-                place = {"id": t["id"], "tile_no": t["tile_no"], "x": 0, "y": 0, "w": 0, "h": 0, "pixels": np.zeros(0, np.int32), "total": 0, "error": ""}
+                place = {"id": t["id"], "tile_no": t["tile_no"], "x": 0, "y": 0, "w": 0, "h": 0, "pixels": np.zeros(0, np.int32) if pixels else None, "total": 0, "error": ""}
                 try:
                     factor = t["base"] ** t["chain"]
                     made = chained(engine(name, t["base"]), read(t), t["chain"])
@@ -138,11 +147,15 @@ def upscaled(tiles: DataFrame, name: str = "nearest", read: Callable[[dict], np.
                     cut = made[PAD * factor : PAD * factor + h, PAD * factor : PAD * factor + w]
                     if cut.shape[:2] != (h, w):
                         raise ValueError("the engine's output is too small")
-                    place |= {"x": t["x"] * factor, "y": t["y"] * factor, "w": w, "h": h, "pixels": cut.astype(np.int32).ravel(), "total": int(cut.sum())}
+                    place |= {"x": t["x"] * factor, "y": t["y"] * factor, "w": w, "h": h, "pixels": cut.astype(np.int32).ravel() if pixels else None, "total": int(cut.sum())}
+                    held += cut.size if pixels else 0
                 except (ValueError, KeyError) as problem:
                     place["error"] = str(problem)[:200]
                 out.append(place)
-            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in schema], schema=schema)
+                if held >= HELD:
+                    yield table(out)
+                    out, held = [], 0
+            yield table(out)
 
     return tiles.mapInArrow(run, "id long, tile_no int, x int, y int, w int, h int, pixels array<int>, total long, error string")
 
@@ -157,15 +170,17 @@ def drawn(row: dict) -> np.ndarray:
     """A tile of an image whose pixels are arithmetic on their place, as a decoder would give it."""
     clip = lambda at, n, whole: np.clip(np.arange(at - PAD, at + n + PAD), 0, whole - 1)
     ys, xs = clip(row["y"], row["th"], row["h"]), clip(row["x"], row["tw"], row["w"])
-    return ((xs[None] * 7 + ys[:, None] * 13) % 256)[:, :, None]
+    return ((xs[None] * 7 + ys[:, None] * 13) % 256).astype(np.uint8)[:, :, None]
 
 
 def upscaled_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small images in overlapping tiles through the stand-in engine: number and sum of output pixels.
 
     Tiles are painted in order; each is cut to what it owns, so sums of tiles are summed and no pixel is exchanged."""
-    j = jobs(spark, sf_dir).select("id", (F.col("w") % 29 + 20).cast("int").alias("w"), (F.col("h") % 23 + 20).cast("int").alias("h"), F.lit(2).alias("base"), (F.col("id") % 2 + 1).cast("int").alias("chain"))
-    made = upscaled(owned(overlapping(j, 24, 8).join(j, "id"), 24, 8), read=drawn)
+    size = lambda name, n: (F.col(name) % n + 20).cast("int").alias(name)
+    j = jobs(spark, sf_dir).select("id", size("w", 29), size("h", 23), F.lit(2).alias("base"), F.when(F.col("id") % 2 == 0, 1).otherwise(2).alias("chain"))
+    tiles = overlapping(dealt(j.where("w > 0 AND h > 0")), 24, 8, ("w", "h", "base", "chain"))
+    made = upscaled(owned(tiles, 24, 8), read=drawn, pixels=False)
     return made.groupBy("id").agg(F.sum(F.col("w").cast("long") * F.col("h")).alias("pixels"), F.sum("total").alias("total"))
 
 
